@@ -99,7 +99,8 @@ def ranked(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
-    """``docs`` with ``phase``, ``slot`` (long) and ``place`` (in the block).
+    """``docs`` with ``phase``, ``slot`` (long) and ``place`` (in the block), which replace
+    columns of these names.
 
     weights: by source; those missing get the square root of their number of documents,
     scaled to the same sum.  Sort by (slot, place) for the mixture's order.
@@ -110,20 +111,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         raise ValueError(f"more than {PARTS} sources; merge small ones first")
     target = {r.s: sqrt(r.n) for r in sizes} if weights is None else {r.s: weights.get(r.s, 0) for r in sizes}
     plan = phases({r.s: ceil(r.n / block) for r in sizes}, target)
-    schema = "source string, phase int, first long, until long, k int, parts int, slots int, slot long, at int"
+    schema = "__s string, __phase int, __first long, __until long, __kk int, __parts int, __slots int, __slot long, __at int"
     rows = []
     for i, p in enumerate(plan):
         n = sum(p["parts"].values())
         rows += [(s, i, p["first"][s], p["first"][s] + p["periods"] * p["parts"][s], k, p["parts"][s], n, p["slot"], at) for s, k, at in period(p["parts"])]
     slots = spark.createDataFrame(rows, schema)
-    spans = slots.select(F.col("source").alias("__source"), "phase", "first", "until", "parts", "slots", "slot").distinct()
-    blocks = ranked(docs).withColumns({"__block": F.floor(F.col("__rank") / block), "place": (F.col("__rank") % block).cast("int")})
-    # Both sides have at most PARTS rows a phase and one phase a source.
-    at = blocks.join(F.broadcast(spans), (blocks["__source"] == spans["__source"]) & (F.col("__block") >= F.col("first")) & (F.col("__block") < F.col("until"))).drop(spans["__source"])
-    at = at.withColumns({"__k": ((F.col("__block") - F.col("first")) % F.col("parts")).cast("int"), "__period": F.floor((F.col("__block") - F.col("first")) / F.col("parts"))})
-    fine = slots.select(F.col("source").alias("__s"), F.col("phase").alias("__p"), F.col("k").alias("__kk"), "at")
-    at = at.join(F.broadcast(fine), (F.col("__source") == F.col("__s")) & (F.col("phase") == F.col("__p")) & (F.col("__k") == F.col("__kk")))
-    return at.select(*(at[c] for c in docs.columns), at["phase"], (F.col("slot") + F.col("__period") * F.col("slots") + F.col("at")).alias("slot"), at["place"])
+    spans = slots.select("__s", "__phase", "__first", "__until", "__parts", "__slots", "__slot").distinct()
+    blocks = ranked(docs).withColumns({"__block": F.floor(F.col("__rank") / block), "__place": (F.col("__rank") % block).cast("int")})
+    # Both sides are bounded: PARTS rows a phase, a phase a source.
+    at = blocks.join(F.broadcast(spans), F.expr("__source = __s AND __block >= __first AND __block < __until")).drop("__s")
+    at = at.withColumns({"__k": F.expr("cast((__block - __first) % __parts AS int)"), "__period": F.floor((F.col("__block") - F.col("__first")) / F.col("__parts"))})
+    fine = slots.select("__s", F.col("__phase").alias("__p"), "__kk", "__at")
+    at = at.join(F.broadcast(fine), F.expr("__source = __s AND __phase = __p AND __k = __kk"))
+    own = [F.col(c) for c in docs.columns if c not in ("phase", "slot", "place")]
+    return at.select(*own, F.col("__phase").alias("phase"), F.expr("__slot + __period * __slots + __at").alias("slot"), F.col("__place").alias("place"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     """Boost the logistic loss; every split is the best over per-feature histograms."""
     share = y.mean() if len(y) else 0.5
     empty = Trees(float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / (1 - np.clip(share, 1e-6, 1 - 1e-6)))), np.zeros((0, 2**DEPTH - 1), int), np.zeros((0, 2**DEPTH - 1)), np.zeros((0, 2**DEPTH)))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return empty
     n, m = x.shape
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(m)]

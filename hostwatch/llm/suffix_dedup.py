@@ -316,7 +316,8 @@ def _with_starts(docs: DataFrame, length: int, keep: str) -> DataFrame:
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``.  What a cut leaves of a character
-    at its borders is dropped."""
+    at its borders is dropped.  A string may overlap its earlier copy: of a long run of one
+    character the first is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
