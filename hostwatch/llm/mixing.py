@@ -8,9 +8,8 @@ at every slot.  Weights are whole parts of ``PARTS`` slots, so the schedule repe
 ``PARTS`` slots: only that one period is computed, on the driver, and its size depends on
 ``PARTS`` alone; blocks find their slots by a join.
 
-Every document is kept.  When a source has no block left, the phase ends (at its last
-whole period) and the other sources go on with their weights scaled up, so n sources make
-at most n phases.  A source's last block may be short.  Number of sources: at most
+Every document is kept.  When a source has no block left, the phase ends and the other
+sources go on with their weights scaled up, so n sources make at most n phases.  A source's last block may be short.  Number of sources: at most
 ``PARTS``, each gets a part at least.
 
 A null source is a source of its own, named as ''.  A null doc_id sorts first.  Repeated
@@ -22,6 +21,7 @@ with a third of all rows is dealt over as many tasks as the table needs.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from math import ceil, sqrt
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -65,18 +65,22 @@ def period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
-    """Phases until all blocks are used: parts, first block of each source, first slot, periods."""
+    """Phases until all blocks are used: parts, the period's rows, each source's first block
+    and the block after its last, first slot.  A phase ends with the first source that has
+    none left, so there is no empty slot."""
     left, used, at, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     while left := {s: n for s, n in left.items() if n > 0}:
         parts = whole_parts({s: weights[s] for s in left})
-        # As many periods as the first source to run out can fill, and the one it runs out in.
-        periods = max(1, min(ceil(left[s] / parts[s]) for s in left))
-        out.append({"parts": parts, "first": {s: used[s] for s in left}, "slot": at, "periods": periods})
-        for s in left:
-            took = min(left[s], periods * parts[s])
-            used[s] += took
-            left[s] -= took
-        at += periods * sum(parts.values())
+        n, made = sum(parts.values()), period(parts)
+        place = {(s, k): slot for s, k, slot in made}
+        end = 1 + min((m - 1) // parts[s] * n + place[s, (m - 1) % parts[s]] for s, m in left.items())
+        took = Counter(s for s, _, slot in made if slot < end % n)
+        took = {s: end // n * parts[s] + took[s] for s in left}
+        out.append({"parts": parts, "period": made, "first": {s: used[s] for s in left}, "until": {s: used[s] + took[s] for s in left}, "slot": at})
+        for s, k in took.items():
+            used[s] += k
+            left[s] -= k
+        at += end
     return out
 
 
@@ -115,7 +119,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     rows = []
     for i, p in enumerate(plan):
         n = sum(p["parts"].values())
-        rows += [(s, i, p["first"][s], p["first"][s] + p["periods"] * p["parts"][s], k, p["parts"][s], n, p["slot"], at) for s, k, at in period(p["parts"])]
+        rows += [(s, i, p["first"][s], p["until"][s], k, p["parts"][s], n, p["slot"], at) for s, k, at in p["period"]]
     slots = spark.createDataFrame(rows, schema)
     spans = slots.select("__s", "__phase", "__first", "__until", "__parts", "__slots", "__slot").distinct()
     blocks = ranked(docs).withColumns({"__block": F.floor(F.col("__rank") / block), "__place": (F.col("__rank") % block).cast("int")})
