@@ -16,6 +16,7 @@ are repeated turns.  Extra columns are ignored.  An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
@@ -84,6 +85,8 @@ def mask(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Spark runs a task a core; more threads in each would only hold more conversations at once.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(tokenizer)
@@ -112,7 +115,7 @@ def format_chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFr
     ``loss`` by token; ``loss_starts`` and ``loss_ends``: of the masked tokens, in order,
     the characters under the mask.
     """
-    small_batches(conversations.sparkSession)
+    small_batches(conversations.sparkSession, 200)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     return whole.mapInArrow(_encode(tokenizer), SCHEMA)
