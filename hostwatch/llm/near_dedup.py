@@ -7,13 +7,13 @@ copies are one node.  Per node: ``BANDS`` bands of ``ROWS`` minima give bucket h
 sets of similarity 0.8 miss each other with probability 4e-9), and the ``BITS`` low bits of
 all minima, packed, give a collision-corrected estimate of similarity by bit counts.
 
-In each bucket the least and the greatest id are candidates with every member, which joins
-a group of n near copies by at most 2n rows.  Estimates under ``FLOOR`` are dropped (seven
-standard deviations under 0.8) and the rest verified on the full sets, by intersection
-size.  After union-find, members of one bucket that are still in different components are
-joined with one another, with the estimate inside the join's condition, so only pairs that
-pass become rows; these are verified too and union-find runs again.  Pairs inside a
-component are never made.
+First each document is a candidate with the least id of its buckets, which joins a group of
+n near copies by n rows.  Estimates under ``FLOOR`` are dropped (4.7 standard deviations
+under 0.8) and the rest verified on the full sets, by intersection size.  After union-find,
+in buckets of several components, members outside the leader's component are candidates
+with the leader, twice; then all members that are still in different components are joined
+with one another, with the estimate inside the join's condition, so only pairs that pass
+become rows; these are verified too.  Pairs inside a component are never made.
 
 Null and empty texts, and those without words, have empty sets and are linked with
 nothing.  Rows of equal doc_id are one node.  A null doc_id gets the component of its set,
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from hostwatch.llm.common import small_batches, table, written
 from hostwatch.llm.components import connected_components
 
-BANDS, ROWS, BITS, FLOOR, PERCENT = 64, 6, 2, 0.62, 80
+BANDS, ROWS, BITS, FLOOR, PERCENT = 64, 6, 4, 0.70, 80
 K = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, K, dtype=np.uint32) | 1).astype(np.uint32)
@@ -87,9 +87,9 @@ _LONGS = K * BITS // 64
 
 
 def _packed(minima: np.ndarray) -> np.ndarray:
-    """Low bits of the minima, 32 minima a long."""
-    low = (minima & np.uint32(3)).astype(np.uint64).reshape(-1, _LONGS, 32)
-    return (low << (np.arange(32, dtype=np.uint64) * np.uint64(2))).sum(2, dtype=np.uint64).view(np.int64)
+    """Low bits of the minima, 16 minima a long."""
+    low = (minima & np.uint32(15)).astype(np.uint64).reshape(-1, _LONGS, 16)
+    return (low << (np.arange(16, dtype=np.uint64) * np.uint64(BITS))).sum(2, dtype=np.uint64).view(np.int64)
 
 
 def _bands(minima: np.ndarray) -> np.ndarray:
@@ -103,11 +103,12 @@ def _bands(minima: np.ndarray) -> np.ndarray:
 def similarity(a, b):
     """Estimate from two packed signatures (arrays of longs): the share of equal BITS-bit
     values, corrected for the share that collides by chance."""
-    odd = F.lit(0x5555555555555555)
+    lowest = F.lit(0x1111111111111111)
     differ = None
     for i in range(_LONGS):
         x = a[i].bitwiseXOR(b[i])
-        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(odd))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(lowest))
         differ = n if differ is None else differ + n
     chance = 1 / 2**BITS
     return (1 - differ / F.lit(float(K)) - chance) / (1 - chance)
@@ -172,6 +173,28 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return written(both.select("a", "b", "s", "t").mapInArrow(_confirm, "a long, b long"), "near-links")
 
 
+def _likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs whose estimated similarity reaches FLOOR."""
+    one, two = bits.select(F.col("id").alias("a"), F.col("bits").alias("p")), bits.select(F.col("id").alias("b"), F.col("bits").alias("q"))
+    return written(pairs.join(one, "a").join(two, "b").where(similarity(F.col("p"), F.col("q")) >= FLOOR).select("a", "b").distinct(), "near-likely")
+
+
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """``(h, id, c)``: members, with their components, of buckets of several components."""
+    named = shared.select("h", "id").join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
+    return written(named.join(mixed.select("h"), "h").distinct(), "near-mixed")
+
+
+def _round(pairs, tried, links, found, bits, texts, words):
+    """Confirm pairs that weren't tried yet, and join components by them."""
+    new = _likely(pairs.join(tried, ["a", "b"], "left_anti"), bits)
+    if new.isEmpty():
+        return tried, links, found
+    links = links.unionByName(_confirmed(new, texts, words))
+    return tried.unionByName(new), links, connected_components(links)
+
+
 def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
     small_batches(docs.sparkSession, 500)
@@ -183,24 +206,25 @@ def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
     nodes = features.where("n_shingles > 0").join(rep, ["f1", "f2"]).where("doc_id = rep").select("rep", "bands", "bits").dropDuplicates(["rep", "bands"])
     nodes = written(nodes, "near-nodes")
     rows = nodes.select(F.col("rep").alias("id"), F.explode("bands").alias("h"))
-    ends = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    shared = written(rows.join(ends.where("lo < hi"), "h"), "near-buckets")
-    ends = F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("x")
-    stars = shared.select(ends).select("x.a", "x.b").where("a < b").distinct()
+    ends = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
+    shared = written(rows.join(ends, "h"), "near-buckets")
     bits = nodes.select(F.col("rep").alias("id"), "bits")
-    one, two = bits.select(F.col("id").alias("a"), F.col("bits").alias("p")), bits.select(F.col("id").alias("b"), F.col("bits").alias("q"))
-    likely = stars.join(one, "a").join(two, "b").where(similarity(F.col("p"), F.col("q")) >= FLOOR).select("a", "b").distinct()
-    links = _confirmed(written(likely, "near-likely"), texts, words)
+    # First one candidate a document: the least of its buckets' least ids.
+    tried = _likely(shared.groupBy(F.col("id").alias("b")).agg(F.min("lo").alias("a")).where("a < b").select("a", "b"), bits)
+    links = _confirmed(tried, texts, words)
     found = connected_components(links)
-    # Buckets that still hold two components or more: their pairs across components.
-    named = shared.select("h", "id").join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("n")).where("x < y AND n > 2")
-    rest = written(named.join(mixed.select("h"), "h").join(bits, "id").distinct(), "near-rest")
+    # Then, in buckets that still hold two components or more, the members outside their
+    # leader's component with the leader: the least id, and the greatest.
+    for lead in (F.min, F.max):
+        rest = _mixed(shared, found)
+        ends = rest.groupBy("h").agg(lead(F.struct("id", "c")).alias("lead"))
+        pairs = rest.join(ends, "h").where("c <> lead.c").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        tried, links, found = _round(pairs, tried, links, found, bits, texts, words)
+    # What is left: all pairs of a bucket that are in different components.
+    rest = written(_mixed(shared, found).join(bits, "id"), "near-rest")
     left, right = rest.select("h", F.col("id").alias("a"), F.col("c").alias("c1"), F.col("bits").alias("p")), rest.select("h", F.col("id").alias("b"), F.col("c").alias("c2"), F.col("bits").alias("q"))
-    across = left.join(right, (left["h"] == right["h"]) & (F.col("c1") < F.col("c2")) & (similarity(F.col("p"), F.col("q")) >= FLOOR)).select("a", "b").distinct()
-    across = written(across.join(likely.select("a", "b").union(likely.select("b", "a")), ["a", "b"], "left_anti"), "near-across")
-    if not across.isEmpty():
-        found = connected_components(links.unionByName(_confirmed(across, texts, words)))
+    pairs = left.join(right, (left["h"] == right["h"]) & (F.col("c1") < F.col("c2")) & (similarity(F.col("p"), F.col("q")) >= FLOOR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried, links, found = _round(pairs, tried, links, found, bits, texts, words)
     named = rep.join(found, rep["rep"] == found["id"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))
     # A document whose own id leads another set's component too: rows of equal doc_id are one node.
     out = features.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
