@@ -179,7 +179,7 @@ def _likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return written(pairs.join(one, "a").join(two, "b").where(similarity(F.col("p"), F.col("q")) >= FLOOR).select("a", "b").distinct(), "near-likely")
 
 
-def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+def _several(shared: DataFrame, found: DataFrame) -> DataFrame:
     """``(h, id, c)``: members, with their components, of buckets of several components."""
     named = shared.select("h", "id").join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
@@ -216,12 +216,12 @@ def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
     # Then, in buckets that still hold two components or more, the members outside their
     # leader's component with the leader: the least id, and the greatest.
     for lead in (F.min, F.max):
-        rest = _mixed(shared, found)
+        rest = _several(shared, found)
         ends = rest.groupBy("h").agg(lead(F.struct("id", "c")).alias("lead"))
         pairs = rest.join(ends, "h").where("c <> lead.c").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         tried, links, found = _round(pairs, tried, links, found, bits, texts, words)
     # What is left: all pairs of a bucket that are in different components.
-    rest = written(_mixed(shared, found).join(bits, "id"), "near-rest")
+    rest = written(_several(shared, found).join(bits, "id"), "near-rest")
     left, right = rest.select("h", F.col("id").alias("a"), F.col("c").alias("c1"), F.col("bits").alias("p")), rest.select("h", F.col("id").alias("b"), F.col("c").alias("c2"), F.col("bits").alias("q"))
     pairs = left.join(right, (left["h"] == right["h"]) & (F.col("c1") < F.col("c2")) & (similarity(F.col("p"), F.col("q")) >= FLOOR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried, links, found = _round(pairs, tried, links, found, bits, texts, words)
