@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 V4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 V4_TEXT = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
@@ -55,7 +56,7 @@ def public_v6(text: str) -> bool:
     return not any(a in n for n in _V4)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def is_public_v6(ip: pd.Series) -> pd.Series:
     return ip.map(lambda x: bool(x) and public_v6(x)).astype(bool)
 
@@ -102,7 +103,7 @@ def shaped(host: str, msg: str) -> dict:
     return {"shape": _CANDIDATE.sub(lift, msg), "args": args}
 
 
-@F.pandas_udf("struct<shape:string,args:array<string>>")
+@F.pandas_udf(T.StructType([T.StructField("shape", T.StringType()), T.StructField("args", T.ArrayType(T.StringType()))]))
 def _error_shape_any(host: pd.Series, msg: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shaped(h or "", m or "") for h, m in zip(host, msg)], columns=["shape", "args"])
 
@@ -130,7 +131,7 @@ def rendered(host: str, shape: str, args: list[str]) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def render_error(host: pd.Series, shape: pd.Series, args: pd.Series) -> pd.Series:
     """The inverse of ``error_shape``; a missing argument is ``?``."""
     return pd.Series([rendered(h or "", s or "", a if a is not None else []) for h, s, a in zip(host, shape, args)], dtype=object)

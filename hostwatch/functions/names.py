@@ -61,7 +61,7 @@ def body_hash(body, max_body: int = 2 << 20) -> Column:
 
 
 def body_size(body, max_body: int = 2 << 20) -> Column:
-    return F.coalesce(F.least(F.octet_length(_col(body).cast("binary")), F.lit(max_body)), F.lit(0)).cast("long")
+    return F.least(F.coalesce(F.octet_length(_col(body).cast("binary")), F.lit(0)), F.lit(max_body)).cast("long")
 
 
 def issuer_name(cn, orgs) -> Column:

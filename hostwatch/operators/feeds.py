@@ -73,7 +73,7 @@ def admit_per_address(requests: DataFrame, rate: float = 32.0, burst: float = 64
     state, so an address of any size needs no memory.
     """
     n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = requests.select("req_id", "ts", "address").repartition(n, "address").sortWithinPartitions("address", "ts", "req_id")
+    dealt = requests.select(F.col("req_id").cast("long"), F.col("ts").cast("timestamp_ntz"), "address").repartition(n, "address").sortWithinPartitions("address", "ts", "req_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         address, tokens, last = None, burst, None
@@ -90,4 +90,4 @@ def admit_per_address(requests: DataFrame, rate: float = 32.0, burst: float = 64
                 out.append(ok)
             yield b.assign(admitted=out)
 
-    return dealt.mapInPandas(run, dealt.schema.add("admitted", "boolean"))
+    return dealt.mapInPandas(run, "req_id long, ts timestamp_ntz, address string, admitted boolean")

@@ -53,7 +53,7 @@ def fold_fetches(records: DataFrame, fetches: DataFrame) -> DataFrame:
 
 def fetch_funnel(fetches: DataFrame, records: DataFrame) -> DataFrame:
     """One row of counters over results of known hosts."""
-    known = fetches.join(records.select("host", F.col("probed").alias("was")), "host")
+    known = fetches.join(records.select("host"), "host")
     counts = known.agg(
         F.count_if(F.col("deferred_reason") == "").alias("probed"), F.count_if((F.col("deferred_reason") == "") & (F.col("error") != "")).alias("probe_failed"),
         F.count_if(F.col("deferred_reason") == "address_budget").alias("throttled"), F.count_if(F.col("deferred_reason") == "no_dns_answer").alias("unresolved"), F.count_if(F.col("deferred_reason") != "").alias("deferred"),

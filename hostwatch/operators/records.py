@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hostwatch.functions.names import expand_name, reverse_host
 
 NAMES = ["cert_id", "host", "from_wildcard", "raw", "origin", "seen_at", "source", "issuer", "idx"]
-ORDER = F.struct("seen_at", "source", "idx")
+ORDER = ("seen_at", "source", "idx")
 PROBE = {"probed": "false", "probed_at": "cast(null AS timestamp_ntz)", "http_status": "0", "final_url": "''", "body_size": "cast(0 AS bigint)", "body_hash": "''", "prev_hash": "''", "changed_at": "cast(null AS timestamp_ntz)", "probe_count": "cast(0 AS bigint)", "probe_error": "''"}
 
 
@@ -40,7 +40,7 @@ def dedupe_cert_names(names: DataFrame, pos: str = "pos") -> DataFrame:
 
 def fold_sightings(names: DataFrame) -> DataFrame:
     """One record per host.  All aggregates are partial, so a hot host costs a row a task."""
-    rows = names.withColumn("ord", ORDER)
+    rows = names.withColumn("ord", F.struct(*ORDER))
     return rows.groupBy("host").agg(
         F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"), F.count("*").alias("seen_count"),
         F.min_by("from_wildcard", "ord").alias("from_wildcard"),

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hostwatch.operators.filters import filter_blocklist, filter_depth, with_registrable
@@ -118,7 +119,7 @@ class _Bucket(StatefulProcessor):
 
 
 def stream_admit_per_address(requests: DataFrame, rate: float = 32.0, burst: float = 64.0) -> DataFrame:
-    schema = requests.schema.add("admitted", "boolean")
+    schema = T.StructType([*requests.schema.fields, T.StructField("admitted", T.BooleanType())])
     return requests.groupBy("address").transformWithStateInPandas(_Bucket(rate, burst), schema, "append", "none")
 
 
