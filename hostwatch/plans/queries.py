@@ -44,7 +44,7 @@ add("is_redirected", lambda s, d: X.records(s, d).select("host", P.is_redirected
 add("body_hash", lambda s, d: X.fetches(s, d).select("fetch_id", P.body_hash("body").alias("hash"), P.body_size("body").alias("size")), f"WITH {X.S_FETCHES} SELECT fetch_id, coalesce(sha256(body), '') hash, CAST(coalesce(strlen(body), 0) AS BIGINT) size FROM fetches")
 add("issuer_name", lambda s, d: X.certs(s, d).select("cert_id", P.issuer_name("issuer", F.array(F.lit("Org"))).alias("issuer")), f"WITH {X.S_CERTS} SELECT cert_id, CASE WHEN issuer = '' THEN 'Org' ELSE issuer END issuer FROM certs")
 add("note_origin", lambda s, d: X._read(s, d, "pages").select("page_id", P.note_origin("url").alias("origin")), "SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^https://', ''), '^http://', ''), '/') origin FROM pages")
-add("unix_times", lambda s, d: X.feed(s, d).select("event_id", P.to_seconds("seen_at").alias("seconds"), P.from_unix_float(P.to_seconds("seen_at") + F.lit(0.25)).cast("timestamp_ntz").alias("ts")), f"WITH {X.S_EVENTS} SELECT event_id, CAST(floor(epoch(seen_at)) AS BIGINT) "seconds", make_timestamp(CAST(floor(epoch(seen_at)) AS BIGINT) * 1000000 + 250000) ts FROM feed")
+add("unix_times", lambda s, d: X.feed(s, d).select("event_id", P.to_seconds("seen_at").alias("seconds"), P.from_unix_float(P.to_seconds("seen_at") + F.lit(0.25)).cast("timestamp_ntz").alias("ts")), f"WITH {X.S_EVENTS} SELECT event_id, CAST(floor(epoch(seen_at)) AS BIGINT) \"seconds\", make_timestamp(CAST(floor(epoch(seen_at)) AS BIGINT) * 1000000 + 250000) ts FROM feed")
 add("error_shape", lambda s, d: X.fetches(s, d).select("fetch_id", error_shape_v4("host", "error").alias("e")).select("fetch_id", "e.shape", F.array_join("e.args", ",").alias("args")), f"WITH {X.S_FETCHES} SELECT fetch_id, regexp_replace(replace(error, host, chr(1)), '178\\.142\\.12\\.\\d+', chr(2), 'g') shape, regexp_extract(error, '178\\.142\\.12\\.\\d+') args FROM fetches")
 _IP = "(\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b)"
 add("public_addresses", lambda s, d: X._read(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_IP), 1)).alias("ip")).distinct().select("doc_id", "ip", is_public_v4("ip").alias("public")),
