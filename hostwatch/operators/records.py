@@ -68,7 +68,7 @@ def merge_records(existing: DataFrame, batch: DataFrame) -> DataFrame:
         "cert_name": F.when(upgrade, F.col("cert_name")).otherwise(F.col("e_cert_name")), "origin": F.when(upgrade, F.col("origin")).otherwise(F.col("e_origin")),
         "source": F.coalesce("source", "e_source"), "issuer": issuer,
     }
-    rest = [F.col(f"e_{c}").alias(c) for c in existing.columns if c not in out and c not in ("is_new",)]
+    rest = [(F.coalesce(F.col(f"e_{c}"), b[c]) if c in batch.columns else F.col(f"e_{c}")).alias(c) for c in existing.columns if c not in out and c != "is_new"]
     return both.select(*(v.alias(k) for k, v in out.items()), *rest, F.col("e_host").isNull().alias("is_new"))
 
 
