@@ -115,7 +115,7 @@ def error_shape(host, msg) -> Column:
 
 
 def rendered(host: str, shape: str, args: list[str]) -> str:
-    out, left, escaped = [], list(args or []), False
+    out, left, escaped = [], list(args), False
     for c in shape:
         if escaped:
             out.append(c)
