@@ -53,8 +53,8 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def by_key(df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` written once in the shared folder, bucketed by ``key``.
+def by_key(df: DataFrame, key: str, name: str, distinct: bool = False) -> DataFrame:
+    """``df`` written once in the shared folder, bucketed by ``key``; distinct: one row a key.
 
     Later joins and groupings on ``key`` read the bucket files and move only their other
     side, so that whole texts cross the network once however often they are joined.
@@ -64,5 +64,6 @@ def by_key(df: DataFrame, key: str, name: str) -> DataFrame:
     made = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "false")
     rows = df.repartition(n, key)
+    rows = rows.dropDuplicates([key]) if distinct else rows
     rows.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{made}").option("compression", "zstd").saveAsTable(made)
     return spark.table(made)
