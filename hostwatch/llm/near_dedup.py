@@ -4,16 +4,18 @@ A document's set is its distinct shingles of ``words`` words (query: 2; pipeline
 the A-Z-lower-cased text; with fewer words, the whole sequence is its one shingle.  Sets
 are compared by 64-bit shingle hashes.  Equal sets fall together first, so thousands of
 copies are one node.  Per node: ``BANDS`` bands of ``ROWS`` minima give bucket hashes (two
-sets of similarity 0.8 miss each other with probability 4e-9), and the ``BITS`` low bits of
-all minima, packed, give a collision-corrected estimate of similarity by bit counts.
+sets of similarity 0.8 miss each other with probability 1.5e-4), and the ``BITS`` low bits
+of all minima, packed, give a collision-corrected estimate of similarity by bit counts.
 
-First each document is a candidate with the least id of its buckets, which joins a group of
-n near copies by n rows.  Estimates under ``FLOOR`` are dropped (4.7 standard deviations
+Copies of one text, each edited elsewhere, are all near that text and less near one
+another, so a bucket's leader is its hub: the document whose buckets hold the most members.
+First each document is a candidate with the best of its buckets' hubs, which joins a group
+of n near copies by n rows.  Estimates under ``FLOOR`` are dropped (4.7 standard deviations
 under 0.8) and the rest verified on the full sets, by intersection size.  After union-find,
-in buckets of several components, members outside the leader's component are candidates
-with the leader, twice; then all members that are still in different components are joined
-with one another, with the estimate inside the join's condition, so only pairs that pass
-become rows; these are verified too.  Pairs inside a component are never made.
+in buckets of several components, the members outside the hub's component are candidates
+with the hub; then members that are still in different components are joined with one
+another, with the estimate inside the join's condition, so only pairs that pass become
+rows; these are verified too.  Pairs inside a component are never made.
 
 Null and empty texts, and those without words, have empty sets and are linked with
 nothing.  Rows of equal doc_id are one node.  A null doc_id gets the component of its set,
@@ -30,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import small_batches, table, written
+from hostwatch.llm.common import by_key, small_batches, table, written
 from hostwatch.llm.components import connected_components
 
-BANDS, ROWS, BITS, FLOOR, PERCENT = 64, 6, 4, 0.70, 80
+BANDS, ROWS, BITS, FLOOR, PERCENT = 48, 8, 4, 0.70, 80
 K = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, K, dtype=np.uint32) | 1).astype(np.uint32)
@@ -164,11 +166,14 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([p.column("a").filter(keep), p.column("b").filter(keep)], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _full_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``(id, s)``: the packed full set of each of ``ids``, bucketed by id."""
     raw = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", F.col("text").cast("binary").alias("raw"))
-    sets = written(raw.mapInArrow(_sets(words), "id long, s binary").dropDuplicates(["id"]), "near-sets")
+    return by_key(raw.mapInArrow(_sets(words), "id long, s binary"), "id", "near-sets", distinct=True)
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b)`` those whose full sets are similar enough."""
     both = pairs.join(sets.withColumnRenamed("id", "a"), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("t")), "b")
     return written(both.select("a", "b", "s", "t").mapInArrow(_confirm, "a long, b long"), "near-links")
 
@@ -186,12 +191,17 @@ def _several(shared: DataFrame, found: DataFrame) -> DataFrame:
     return written(named.join(mixed.select("h"), "h").distinct(), "near-mixed")
 
 
-def _round(pairs, tried, links, found, bits, texts, words):
+def _hubs(members: DataFrame) -> DataFrame:
+    """``(h, hub)`` of ``members(h, id, score)``: a bucket's member of the highest score."""
+    return members.groupBy("h").agg((-F.max(F.struct("score", (-F.col("id")).alias("id")))["id"]).alias("hub"))
+
+
+def _round(pairs, tried, links, found, bits, sets):
     """Confirm pairs that weren't tried yet, and join components by them."""
     new = _likely(pairs.join(tried, ["a", "b"], "left_anti"), bits)
     if new.isEmpty():
         return tried, links, found
-    links = links.unionByName(_confirmed(new, texts, words))
+    links = links.unionByName(_confirmed(new, sets))
     return tried.unionByName(new), links, connected_components(links)
 
 
@@ -201,31 +211,34 @@ def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     features = texts.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(_features(words), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
     features = written(features, "near-features")
-    rep = written(features.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "near-reps")
-    # A node is (rep, its set); ids with two different texts are two rows of one node.
-    nodes = features.where("n_shingles > 0").join(rep, ["f1", "f2"]).where("doc_id = rep").select("rep", "bands", "bits").dropDuplicates(["rep", "bands"])
+    # A node is a distinct set; ids with two different texts are two rows of one node.
+    nodes = features.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
     nodes = written(nodes, "near-nodes")
-    rows = nodes.select(F.col("rep").alias("id"), F.explode("bands").alias("h"))
-    ends = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "lo")
-    shared = written(rows.join(ends, "h"), "near-buckets")
-    bits = nodes.select(F.col("rep").alias("id"), "bits")
-    # First one candidate a document: the least of its buckets' least ids.
-    tried = _likely(shared.groupBy(F.col("id").alias("b")).agg(F.min("lo").alias("a")).where("a < b").select("a", "b"), bits)
-    links = _confirmed(tried, texts, words)
+    rows = nodes.where("id IS NOT NULL").select("id", F.explode("bands").alias("h"))
+    held = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(rows.join(held, "h").select("h", "id", "n").distinct(), "near-buckets")
+    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    shared = written(shared.select("h", "id").join(score, "id"), "near-scores")
+    ids = shared.select("id").distinct()
+    bits = written(nodes.join(ids, "id").select("id", "bits"), "near-bits")
+    sets = _full_sets(texts, ids, words)
+    # First one candidate a document: the best hub of its buckets, of its own score at least.
+    led = shared.join(_hubs(shared), "h").where("id <> hub").join(score.select(F.col("id").alias("hub"), F.col("score").alias("best")), "hub")
+    best = led.groupBy("id").agg(F.max(F.struct("best", "hub")).alias("x")).select("id", F.col("x.hub").alias("hub"))
+    pair = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
+    tried = _likely(best.select(*pair).distinct(), bits)
+    links = _confirmed(tried, sets)
     found = connected_components(links)
-    # Then, in buckets that still hold two components or more, the members outside their
-    # leader's component with the leader: the least id, and the greatest.
-    for lead in (F.min, F.max):
-        rest = _several(shared, found)
-        ends = rest.groupBy("h").agg(lead(F.struct("id", "c")).alias("lead"))
-        pairs = rest.join(ends, "h").where("c <> lead.c").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        tried, links, found = _round(pairs, tried, links, found, bits, texts, words)
-    # What is left: all pairs of a bucket that are in different components.
+    # Then, in buckets that still hold two components or more, the members outside the hub's.
+    rest = _several(shared, found)
+    hubs = _hubs(rest.join(score, "id")).join(rest.select("h", F.col("id").alias("hub"), F.col("c").alias("hub_c")), ["h", "hub"])
+    tried, links, found = _round(rest.join(hubs, "h").where("c <> hub_c").select(*pair).distinct(), tried, links, found, bits, sets)
+    # What is left: the pairs of a bucket that are in different components.
     rest = written(_several(shared, found).join(bits, "id"), "near-rest")
     left, right = rest.select("h", F.col("id").alias("a"), F.col("c").alias("c1"), F.col("bits").alias("p")), rest.select("h", F.col("id").alias("b"), F.col("c").alias("c2"), F.col("bits").alias("q"))
     pairs = left.join(right, (left["h"] == right["h"]) & (F.col("c1") < F.col("c2")) & (similarity(F.col("p"), F.col("q")) >= FLOOR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried, links, found = _round(pairs, tried, links, found, bits, texts, words)
-    named = rep.join(found, rep["rep"] == found["id"], "left").select("f1", "f2", F.coalesce("component", "rep").alias("c"))
+    tried, links, found = _round(pairs, tried, links, found, bits, sets)
+    named = nodes.select("f1", "f2", "id").join(found, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
     # A document whose own id leads another set's component too: rows of equal doc_id are one node.
     out = features.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
