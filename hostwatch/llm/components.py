@@ -1,4 +1,4 @@
-"""Distributed union-find over an edge table."""
+"""Distributed union-find over an edge table, and the leaders of buckets of candidates."""
 
 from __future__ import annotations
 
@@ -40,3 +40,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = now
+
+
+def hubs_of(members: DataFrame) -> DataFrame:
+    """``(h, hub)`` of ``members(h, id, score)``: a bucket's member of the highest score, of
+    equal ones the least id."""
+    return members.groupBy("h").agg((F.bitwise_not(F.max(F.struct("score", F.bitwise_not("id").alias("id")))["id"])).alias("hub"))
+
+
+def several(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``(h, id, c)``: those of ``members(h, id)``, with their components, in buckets of
+    several components."""
+    named = members.select("h", "id").join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
+    return written(named.join(mixed.select("h"), "h").distinct(), "several")

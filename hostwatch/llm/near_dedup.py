@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostwatch.llm.common import by_key, small_batches, table, written
-from hostwatch.llm.components import connected_components
+from hostwatch.llm.components import connected_components, hubs_of, several
 
 BANDS, ROWS, BITS, FLOOR, PERCENT = 48, 8, 4, 0.70, 80
 K = BANDS * ROWS
@@ -184,18 +184,6 @@ def _likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return written(pairs.join(one, "a").join(two, "b").where(similarity(F.col("p"), F.col("q")) >= FLOOR).select("a", "b").distinct(), "near-likely")
 
 
-def _several(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """``(h, id, c)``: members, with their components, of buckets of several components."""
-    named = shared.select("h", "id").join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
-    return written(named.join(mixed.select("h"), "h").distinct(), "near-mixed")
-
-
-def _hubs(members: DataFrame) -> DataFrame:
-    """``(h, hub)`` of ``members(h, id, score)``: a bucket's member of the highest score."""
-    return members.groupBy("h").agg((-F.max(F.struct("score", (-F.col("id")).alias("id")))["id"]).alias("hub"))
-
-
 def _round(pairs, tried, links, found, bits, sets):
     """Confirm pairs that weren't tried yet, and join components by them."""
     new = _likely(pairs.join(tried, ["a", "b"], "left_anti"), bits)
@@ -223,18 +211,18 @@ def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
     bits = written(nodes.join(ids, "id").select("id", "bits"), "near-bits")
     sets = _full_sets(texts, ids, words)
     # First one candidate a document: the best hub of its buckets, of its own score at least.
-    led = shared.join(_hubs(shared), "h").where("id <> hub").join(score.select(F.col("id").alias("hub"), F.col("score").alias("best")), "hub")
+    led = shared.join(hubs_of(shared), "h").where("id <> hub").join(score.select(F.col("id").alias("hub"), F.col("score").alias("best")), "hub")
     best = led.groupBy("id").agg(F.max(F.struct("best", "hub")).alias("x")).select("id", F.col("x.hub").alias("hub"))
     pair = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
     tried = _likely(best.select(*pair).distinct(), bits)
     links = _confirmed(tried, sets)
     found = connected_components(links)
     # Then, in buckets that still hold two components or more, the members outside the hub's.
-    rest = _several(shared, found)
-    hubs = _hubs(rest.join(score, "id")).join(rest.select("h", F.col("id").alias("hub"), F.col("c").alias("hub_c")), ["h", "hub"])
+    rest = several(shared, found)
+    hubs = hubs_of(rest.join(score, "id")).join(rest.select("h", F.col("id").alias("hub"), F.col("c").alias("hub_c")), ["h", "hub"])
     tried, links, found = _round(rest.join(hubs, "h").where("c <> hub_c").select(*pair).distinct(), tried, links, found, bits, sets)
     # What is left: the pairs of a bucket that are in different components.
-    rest = written(_several(shared, found).join(bits, "id"), "near-rest")
+    rest = written(several(shared, found).join(bits, "id"), "near-rest")
     left, right = rest.select("h", F.col("id").alias("a"), F.col("c").alias("c1"), F.col("bits").alias("p")), rest.select("h", F.col("id").alias("b"), F.col("c").alias("c2"), F.col("bits").alias("q"))
     pairs = left.join(right, (left["h"] == right["h"]) & (F.col("c1") < F.col("c2")) & (similarity(F.col("p"), F.col("q")) >= FLOOR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried, links, found = _round(pairs, tried, links, found, bits, sets)
