@@ -145,6 +145,18 @@ def brute_lines(rows):
     return gone
 
 
+def test_line_dedup_across_components(spark):
+    # A line edited in 12 places, one a copy, whose first ids are the copies; and two lines
+    # near one copy each, but not near the line itself.
+    rng = random.Random(3)
+    base = words(rng, 60)[0]
+    edits = [base[:i] + "#" + base[i + 1 :] for i in range(10, len(base) - 10, len(base) // 12)]
+    far = [x[:20] + "@@@@" + x[24:150] + "%%%%" + x[154:] for x in edits[:2]]
+    rows = [(i, x, "en", "s", 0) for i, x in enumerate([*edits, *far, base, *words(rng, [20] * 5)])]
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("__removed = 1").collect()}
+    assert got == {d for d, _ in brute_lines(rows)} and len(got) >= len(edits)
+
+
 def test_line_dedup(spark, docs, empty):
     # Similarities well away from the threshold's edge, where banding may miss.
     want = brute_lines(awkward())
