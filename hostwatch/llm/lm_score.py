@@ -9,9 +9,9 @@ two softmaxes of about the root of the vocabulary.
 Training is truncated backpropagation in numpy (windows of ``WINDOW`` steps, state carried
 across windows and reset at document starts) with Adam, in data-parallel rounds: each task
 trains a copy on its own part, and the copies are averaged by tokens with a distributed
-sum.  Round i learns from the training documents whose hash falls in the i-th of ``SLICES``
-slices; ``ROUNDS`` of them are used, a fixed fraction of any corpus.  Before training the
-output biases are the counts' own shares.
+sum.  Round i learns from the training documents whose hash falls in the i-th of ``ROUNDS``
+slices, so that each training document is seen once.  Before training the output biases are
+the counts' own shares.
 
 Scoring runs whole documents through the network, many side by side in lanes, state
 carried across windows.  Counts of the ``HOT`` commonest words are broadcast (a fixed
@@ -37,7 +37,7 @@ from hostwatch.llm.common import small_batches, table, written
 
 CLASSES, WIDTH, HIDDEN, WINDOW, LANES = 32, 32, 16, 32, 512
 VOCABULARY = CLASSES * WIDTH
-HOT, SLICES, ROUNDS, RATE, CLIP = 65_536, 8, 2, 0.01, 1.0
+HOT, ROUNDS, RATE, CLIP = 65_536, 8, 0.01, 1.0
 OTHER, END = 0, 1
 CHUNK_TOKENS, FLUSH_WORDS = 3_000_000, 400_000
 SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, WIDTH), "wb": (CLASSES, WIDTH)}
@@ -259,7 +259,7 @@ def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray) -> Mo
             if total := total + n:
                 yield pa.RecordBatch.from_arrays([pa.array([_vector(m).astype(np.float64) * total], pa.list_(pa.float64())), pa.array([total], pa.int64())], ["v", "n"])
 
-        part = raw.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == i).select("raw")
+        part = raw.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i).select("raw")
         sums = part.mapInArrow(run, "v array<double>, n long")
         got = sums.select("n", F.posexplode("v").alias("i", "v")).groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         if len(got):  # as many numbers as the model has

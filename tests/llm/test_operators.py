@@ -407,6 +407,16 @@ def test_lm_scores(spark, docs):
     assert lm_score.score(docs.select("doc_id", "text").limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_learns_from_every_slice(spark):
+    # Each eighth of the hash has a word of its own; each word's weights must have moved.
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+    text = F.repeat(F.concat(F.lit("w"), at.cast("string"), F.lit(" ")), 20)
+    raw = spark.range(200).select(F.col("id").alias("doc_id")).select("doc_id", text.cast("binary").alias("raw"))
+    share = np.ones(lm_score.VOCABULARY)
+    model, first = lm_score.train(raw, {b"w%d" % i: 2 + i for i in range(8)}, share), lm_score.first_model(share)
+    assert [i for i in range(8) if np.array_equal(model["x"][2 + i], first["x"][2 + i])] == []
+
+
 def test_lm_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     share = np.ones(lm_score.VOCABULARY)
