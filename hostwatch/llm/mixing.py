@@ -4,13 +4,15 @@ Each source's documents are cut into blocks of ``block`` documents, in the order
 of doc_id.  Block k of a source of weight w is released at slot ``floor(k / w)`` and due
 by ``ceil((k + 1) / w)``; each slot takes the released block of the earliest deadline
 (ties: larger weight, then name), which keeps every source within one block of its share
-at every slot.  Weights are whole parts of ``PARTS`` slots, so the schedule repeats after
-``PARTS`` slots: only that one period is computed, on the driver, and its size depends on
-``PARTS`` alone; blocks find their slots by a join.
+at every slot.  Weights are exact: floats are ratios of integers, and releases and
+deadlines are computed in integers.  Each slot depends on the one before, so one task deals
+the slots and streams a row a block; it holds a few numbers a source, never the blocks, and
+its time grows with the blocks.  Blocks find their slots by a join.
 
 Every document is kept.  When a source has no block left, the phase ends and the other
-sources go on with their weights scaled up, so n sources make at most n phases.  A source's last block may be short.  Number of sources: at most
-``PARTS``, each gets a part at least.
+sources go on with their weights scaled up, so n sources make at most n phases, each of
+which starts anew with the sources left: time also grows with the square of n.  A source's
+last block may be short.
 
 A null source is a source of its own, named as ''.  A null doc_id sorts first.  Repeated
 rows are scheduled as rows.  Empty tables give empty results.  Extra columns are carried.
@@ -21,19 +23,23 @@ with a third of all rows is dealt over as many tasks as the table needs.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from math import ceil, sqrt
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import ceil, lcm, sqrt
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostwatch.llm.common import table, written
 
-PARTS, BLOCK, RANGE_ROWS = 1000, 16, 2000
+PARTS, BLOCK, RANGE_ROWS, BATCH = 1000, 16, 2000, 10_000
 
 
 def whole_parts(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Weights as whole parts of ``parts``, at least 1 each, by largest remainders."""
+    """Weights as whole parts of ``parts``, at least 1 each, by largest remainders; not for
+    ``mix``, which takes exact_parts."""
     if not weights:
         return {}
     if len(weights) > parts or min(weights.values()) <= 0:
@@ -46,42 +52,64 @@ def whole_parts(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]
     return out
 
 
-def period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
-    """``(source, k, slot)`` of one period: earliest deadline first among released blocks."""
-    n = sum(parts.values())
+def exact_parts(weights: dict[str, float]) -> dict[str, int]:
+    """Weights as integers in the very same ratios."""
+    if any(w <= 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    ratios = {s: Fraction(w) for s, w in weights.items()}
+    unit = lcm(*(r.denominator for r in ratios.values()))
+    return {s: int(r * unit) for s, r in ratios.items()}
+
+
+def dealt(parts: dict[str, int]) -> Iterator[tuple[str, int]]:
+    """``(source, k)`` slot by slot: earliest deadline first among released blocks."""
+    n, slot = sum(parts.values()), 0
     release = [(0, s, 0) for s in parts]
     heapq.heapify(release)
     ready: list = []
-    out = []
-    for slot in range(n):
+    while True:
         while release and release[0][0] <= slot:
             _, s, k = heapq.heappop(release)
             heapq.heappush(ready, (-(-(k + 1) * n // parts[s]), -parts[s], s, k))
         _, _, s, k = heapq.heappop(ready)
-        out.append((s, k, slot))
-        if k + 1 < parts[s]:
-            heapq.heappush(release, ((k + 1) * n // parts[s], s, k + 1))
-    return out
+        yield s, k
+        heapq.heappush(release, ((k + 1) * n // parts[s], s, k + 1))
+        slot += 1
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[dict]:
-    """Phases until all blocks are used: parts, the period's rows, each source's first block
-    and the block after its last, first slot.  A phase ends with the first source that has
-    none left, so there is no empty slot."""
-    left, used, at, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n > 0}:
-        parts = whole_parts({s: weights[s] for s in left})
-        n, made = sum(parts.values()), period(parts)
-        place = {(s, k): slot for s, k, slot in made}
-        end = 1 + min((m - 1) // parts[s] * n + place[s, (m - 1) % parts[s]] for s, m in left.items())
-        took = Counter(s for s, _, slot in made if slot < end % n)
-        took = {s: end // n * parts[s] + took[s] for s in left}
-        out.append({"parts": parts, "period": made, "first": {s: used[s] for s in left}, "until": {s: used[s] + took[s] for s in left}, "slot": at})
-        for s, k in took.items():
-            used[s] += k
-            left[s] -= k
-        at += end
-    return out
+def period(parts: dict[str, int]) -> list[tuple[str, int, int]]:
+    """``(source, k, slot)`` of the first ``sum(parts)`` slots, after which all repeats."""
+    return [(s, k, slot) for slot, (s, k) in enumerate(islice(dealt(parts), sum(parts.values())))]
+
+
+def schedule(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[str, int, int, int]]:
+    """``(source, block, phase, slot)`` of all blocks.  A phase ends with the first source
+    that has none left, so there is no empty slot."""
+    left, used, slot, phase = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, 0
+    while left:
+        for s, _ in dealt({s: parts[s] for s in left}):
+            yield s, used[s], phase, slot
+            slot += 1
+            used[s] += 1
+            left[s] -= 1
+            if not left[s]:
+                del left[s]
+                break
+        phase += 1
+
+
+def _scheduled(block: int, weights: dict[str, float] | None):
+    """Rows ``(s, n)`` of all sources, in one task, to ``(__s, __b, phase, slot)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = {s: n for b in batches for s, n in zip(b.column("s").to_pylist(), b.column("n").to_pylist())}
+        target = {s: sqrt(n) if weights is None else weights.get(s, 0) for s, n in sizes.items()}
+        rows = schedule({s: ceil(n / block) for s, n in sizes.items()}, exact_parts(target))
+        while part := list(islice(rows, BATCH)):
+            kinds = pa.string(), pa.int64(), pa.int32(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], ["__s", "__b", "__phase", "__slot"])
+
+    return run
 
 
 def ranked(docs: DataFrame) -> DataFrame:
@@ -109,27 +137,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     weights: by source; those missing get the square root of their number of documents,
     scaled to the same sum.  Sort by (slot, place) for the mixture's order.
     """
-    spark = docs.sparkSession
-    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n")).limit(PARTS + 1).collect()
-    if len(sizes) > PARTS:
-        raise ValueError(f"more than {PARTS} sources; merge small ones first")
-    target = {r.s: sqrt(r.n) for r in sizes} if weights is None else {r.s: weights.get(r.s, 0) for r in sizes}
-    plan = phases({r.s: ceil(r.n / block) for r in sizes}, target)
-    schema = "__s string, __phase int, __first long, __until long, __kk int, __parts int, __slots int, __slot long, __at int"
-    rows = []
-    for i, p in enumerate(plan):
-        n = sum(p["parts"].values())
-        rows += [(s, i, p["first"][s], p["until"][s], k, p["parts"][s], n, p["slot"], at) for s, k, at in p["period"]]
-    slots = spark.createDataFrame(rows, schema)
-    spans = slots.select("__s", "__phase", "__first", "__until", "__parts", "__slots", "__slot").distinct()
+    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n"))
+    slots = written(sizes.repartition(1).mapInArrow(_scheduled(block, weights), "__s string, __b long, __phase int, __slot long"), "mixing-slots")
     blocks = ranked(docs).withColumns({"__block": F.floor(F.col("__rank") / block), "__place": (F.col("__rank") % block).cast("int")})
-    # Both sides are bounded: PARTS rows a phase, a phase a source.
-    at = blocks.join(F.broadcast(spans), F.expr("__source = __s AND __block >= __first AND __block < __until")).drop("__s")
-    at = at.withColumns({"__k": F.expr("cast((__block - __first) % __parts AS int)"), "__period": F.floor((F.col("__block") - F.col("__first")) / F.col("__parts"))})
-    fine = slots.select("__s", F.col("__phase").alias("__p"), "__kk", "__at")
-    at = at.join(F.broadcast(fine), F.expr("__source = __s AND __phase = __p AND __k = __kk"))
+    at = blocks.join(slots, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b")))
     own = [F.col(c) for c in docs.columns if c not in ("phase", "slot", "place")]
-    return at.select(*own, F.col("__phase").alias("phase"), F.expr("__slot + __period * __slots + __at").alias("slot"), F.col("__place").alias("place"))
+    return at.select(*own, F.col("__phase").alias("phase"), F.col("__slot").alias("slot"), F.col("__place").alias("place"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
-from math import log10
+from math import ceil, log10
 
 import numpy as np
 import pytest
@@ -385,6 +385,29 @@ def test_mixing(spark, docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.9} | {f"s{i}": 0.001 + i / 1e6 for i in range(99)}, {"hot": 1e6**0.5} | {f"s{i}": (1e5 + 7 * i) ** 0.5 for i in range(19)}])
+def test_mixing_follows_target_weights(weights):
+    # Against the weights themselves, in the first phase of 12,000 slots or so.
+    total, blocks = sum(weights.values()), {s: ceil(12_000 * w / sum(weights.values())) for s, w in weights.items()}
+    took = Counter()
+    made = list(mixing.schedule(blocks, mixing.exact_parts(weights)))
+    assert [slot for *_, slot in made] == list(range(sum(blocks.values())))
+    first = [x for x in made if x[2] == 0]
+    assert len(first) > 10_000
+    for s, k, _, slot in first:
+        assert k == took[s]
+        took[s] += 1
+        assert all(abs(took[x] - (slot + 1) * w / total) < 1 + 1e-6 for x, w in weights.items())
+    assert Counter(s for s, *_ in made) == blocks
+
+
+def test_mixing_has_no_limit_of_sources(spark):
+    table = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 1200).alias("source"))
+    got = mixing.mix(table, block=2).collect()
+    assert len(got) == 3000 and len({(r.slot, r.place) for r in got}) == 3000
+    assert {r.slot for r in got} == set(range(600 * 2 + 600))
+
+
 def test_ranks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
     table = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(500)], "doc_id long, source string")
