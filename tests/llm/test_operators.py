@@ -170,6 +170,13 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = ["Read more\n}\n\t\n一行字", "Subscribe now!\nRead more\n\t\r\n", "一行字\n}\n \nSubscribe now!\nAnd.", "Read more!\n\r"]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.text, r["__removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {0: (texts[0], 0), 1: ("Subscribe now!\n\t\r\n", 1), 2: (" \nAnd.", 3), 3: (texts[3], 0)}
+
+
 def brute_spans(texts, n):
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
