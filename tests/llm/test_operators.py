@@ -177,6 +177,19 @@ def test_line_dedup_of_short_lines(spark):
     assert got == {0: (texts[0], 0), 1: ("Subscribe now!\n\t\r\n", 1), 2: (" \nAnd.", 3), 3: (texts[3], 0)}
 
 
+def test_line_dedup_recall(spark):
+    # Pairs of similarity 0.80 to 0.82: one edit in lines of 90 to 97 characters.
+    rng = random.Random(8)
+    lines = []
+    for i in range(2000):
+        x = "".join(rng.choice("abcdefghijklmnop ") for _ in range(90 + i % 8))
+        lines += [x, x[:45] + "#" + x[46:]]
+    rows = [(i, x, "en", "s", 0) for i, x in enumerate(lines)]
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("__removed = 1").collect()}
+    print("missed", 2000 - len(got))
+    assert got <= set(range(1, 4000, 2)) and len(got) >= 1998
+
+
 def brute_spans(texts, n):
     seen = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
