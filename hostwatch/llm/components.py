@@ -1,16 +1,23 @@
-"""Distributed union-find over an edge table, and the leaders of buckets of candidates."""
+"""Distributed union-find over an edge table, and candidates among sets that banding left
+in different components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from math import log
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwatch.llm.common import written
 
+#: Similarity in percent, the ratio of a size class's ends, and members that make a bucket large.
+PERCENT, STEP, FEW = 80, 1.06, 8
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step.  Large: larger neighbours move to the least neighbour.  Small: the
-    smaller neighbours do.  The minimum is pre-aggregated, so a hub costs one row a task."""
+    smaller neighbours do.  The minimum is pre-aggregated; the edges of a hub meet its one
+    row in a join, whose hot partitions Spark splits."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -48,9 +55,48 @@ def hubs_of(members: DataFrame) -> DataFrame:
     return members.groupBy("h").agg((F.bitwise_not(F.max(F.struct("score", F.bitwise_not("id").alias("id")))["id"])).alias("hub"))
 
 
-def several(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``(h, id, c)``: those of ``members(h, id)``, with their components, in buckets of
-    several components."""
-    named = members.select("h", "id").join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y")
-    return written(named.join(mixed.select("h"), "h").distinct(), "several")
+def unsettled(members: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """What ``found`` leaves open in buckets ``members(h, id)`` of several components.
+
+    Pairs ``(a, b)`` across the components of buckets of fewer than ``FEW`` members, so fewer
+    than FEW / 2 a row; and ``(id, c, g)``: the members of larger ones, with their components.
+    g: components are of one group if larger buckets link them, in any number of steps.
+    """
+    named = members.join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").drop("y")
+    rest = written(named.join(mixed, "h"), f"{name}-mixed")
+    few = rest.where(F.col("n") < FEW).select("h", "id", "c")
+    pairs = few.select("h", F.col("id").alias("i"), F.col("c").alias("c1")).join(few.select("h", F.col("id").alias("j"), F.col("c").alias("c2")), "h").where("c1 < c2")
+    many = rest.where(F.col("n") >= FEW).select("id", "c", "x").distinct()
+    groups = connected_components(many.select(F.col("c").alias("a"), F.col("x").alias("b")))
+    named = many.select("id", "c").distinct().join(groups.withColumnsRenamed({"id": "c", "component": "g"}), "c", "left")
+    return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct(), written(named.select("id", "c", F.coalesce("g", "c").alias("g")), f"{name}-rest")
+
+
+def prefix_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets in different components of a group that may be similar.
+
+    members: ``(id, c, g, s)``, a row an element.  Exact prefix filtering: with a group's
+    elements in order of rising frequency, two sets whose similarity reaches PERCENT have an
+    element in common among the first ``n - o + 1`` of each, n its size and o the least
+    overlap that their sizes allow.  Elements that one component alone has count as places
+    but meet nothing.  A set's prefix is dealt by the size class of the partner, so that
+    sets of like size meet by few elements, and elements that a whole group has are reached
+    only by sets that have hardly any others.
+    """
+    seen = members.groupBy("g", "s").agg(F.count("*").alias("df"), F.min("c").alias("x"), F.max("c").alias("y"))
+    seen = seen.select("g", "s", "df", (F.col("x") < F.col("y")).alias("cross"))
+    own = Window.partitionBy("id")
+    at = members.join(seen, ["g", "s"]).withColumns({"n": F.count("*").over(own), "pos": F.row_number().over(own.orderBy("cross", "df", "s"))})
+    size_class = lambda n: F.floor(F.log(n) / log(STEP) + 1e-9).cast("int")
+    least_size = lambda k: F.ceil(F.pow(F.lit(STEP), k) - 1e-6)  # noqa: E731  of a class
+    need = lambda n, m: F.ceil(PERCENT * (n + m) / (100 + PERCENT) - 1e-9)
+    n, pos, k = F.col("n"), F.col("pos"), F.col("k")
+    at = at.where(F.col("cross") & (pos <= n - F.ceil(PERCENT * n / 100 - 1e-9) + 1)).withColumn("own", size_class(n))
+    reach = F.sequence(size_class(F.greatest(F.floor(n * PERCENT / 100), F.lit(1))), size_class(F.ceil(n * 100 / PERCENT)))
+    dealt = at.withColumn("k", F.explode(reach)).where(pos <= n - need(n, F.greatest(least_size(k), F.ceil(PERCENT * n / 100 - 1e-9))) + 1)
+    dealt = dealt.select("g", "s", F.least("own", "k").alias("k1"), F.greatest("own", "k").alias("k2"), "own", "k", "id", "c", "n", "pos")
+    one, two = dealt.select("g", "s", "k1", "k2", F.col("own").alias("o1"), F.col("id").alias("a"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1")), dealt.select("g", "s", "k1", "k2", F.col("k").alias("o2"), F.col("id").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    o = need(F.col("n1"), F.col("n2"))
+    met = one.join(two, ["g", "s", "k1", "k2"]).where((F.col("c1") < F.col("c2")) & (F.col("o1") == F.col("o2")) & (F.col("p1") <= F.col("n1") - o + 1) & (F.col("p2") <= F.col("n2") - o + 1))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

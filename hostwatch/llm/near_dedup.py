@@ -12,14 +12,16 @@ another, so a bucket's leader is its hub: the document whose buckets hold the mo
 First each document is a candidate with the best of its buckets' hubs, which joins a group
 of n near copies by n rows.  Estimates under ``FLOOR`` are dropped (4.7 standard deviations
 under 0.8) and the rest verified on the full sets, by intersection size.  After union-find,
-in buckets of several components, the members outside the hub's component are candidates
-with the hub; then members that are still in different components are joined with one
-another, with the estimate inside the join's condition, so only pairs that pass become
-rows; these are verified too.  Pairs inside a component are never made.
+members of buckets of several components are compared across components: directly in small
+buckets, by an exact prefix filter (``components.prefix_pairs``) in large ones, where only
+those that share one of the elements that are rare in their group become pairs.  These
+pass the same estimate and verification.
 
 Null and empty texts, and those without words, have empty sets and are linked with
-nothing.  Rows of equal doc_id are one node.  A null doc_id gets the component of its set,
-and is never kept in favour of another.  Extra columns are carried by ``near_dedup``.
+nothing.  Rows of equal doc_id and different texts are documents of their own.  A row with
+null doc_id gets the component of its set, but doesn't link others, leads none and isn't
+removed by ``near_dedup``, where repeated rows with a doc_id become one.  Extra columns are
+carried by ``near_dedup``.  Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import by_key, small_batches, table, written
-from hostwatch.llm.components import connected_components, hubs_of, several
+from hostwatch.llm.common import by_key, fresh, small_batches, table, written
+from hostwatch.llm.components import PERCENT, connected_components, hubs_of, prefix_pairs, unsettled
 
-BANDS, ROWS, BITS, FLOOR, PERCENT = 48, 8, 4, 0.70, 80
+BANDS, ROWS, BITS, FLOOR = 48, 8, 4, 0.70
 K = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, K, dtype=np.uint32) | 1).astype(np.uint32)
@@ -130,8 +132,8 @@ def _features(words: int):
                 n, longs = len(sets), pa.list_(pa.int64())
                 lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())).cast(longs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists(_bands(minima)), lists(_packed(minima))],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands", "bits"],
+                    [part.column("doc_id"), part.column("u"), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), lists(_bands(minima)), lists(_packed(minima))],
+                    ["doc_id", "u", "n_shingles", "f1", "f2", "bands", "bits"],
                 )
 
     return run
@@ -166,9 +168,21 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([p.column("a").filter(keep), p.column("b").filter(keep)], ["a", "b"])
 
 
-def _full_sets(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``(id, s)``: the packed full set of each of ``ids``, bucketed by id."""
-    raw = texts.join(ids, texts["doc_id"] == ids["id"]).select("id", F.col("text").cast("binary").alias("raw"))
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed sets to a row an element, a few sets at a time."""
+    names = ["id", "c", "g"]
+    for b in batches:
+        for i in range(0, b.num_rows, 20):
+            part = b.slice(i, 20)
+            sets = [_unpacked(x.as_py()).view(np.int64) for x in part.column("s")]
+            sizes = [len(x) for x in sets]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(part.column(c).to_numpy(), sizes)) for c in names), pa.array(np.concatenate(sets))], [*names, "s"])
+
+
+def _full_sets(texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``(id, s)``: the packed full set of each of ``nodes(id, one)``, bucketed by id."""
+    at = nodes.select("id", "one.doc_id", "one.u")
+    raw = texts.join(at, ["doc_id", "u"]).select("id", F.col("text").cast("binary").alias("raw"))
     return by_key(raw.mapInArrow(_sets(words), "id long, s binary"), "id", "near-sets", distinct=True)
 
 
@@ -181,62 +195,64 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _likely(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs whose estimated similarity reaches FLOOR."""
     one, two = bits.select(F.col("id").alias("a"), F.col("bits").alias("p")), bits.select(F.col("id").alias("b"), F.col("bits").alias("q"))
-    return written(pairs.join(one, "a").join(two, "b").where(similarity(F.col("p"), F.col("q")) >= FLOOR).select("a", "b").distinct(), "near-likely")
-
-
-def _round(pairs, tried, links, found, bits, sets):
-    """Confirm pairs that weren't tried yet, and join components by them."""
-    new = _likely(pairs.join(tried, ["a", "b"], "left_anti"), bits)
-    if new.isEmpty():
-        return tried, links, found
-    links = links.unionByName(_confirmed(new, sets))
-    return tried.unionByName(new), links, connected_components(links)
+    return pairs.join(one, "a").join(two, "b").where(similarity(F.col("p"), F.col("q")) >= FLOOR).select("a", "b").distinct()
 
 
-def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
-    small_batches(docs.sparkSession, 500)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = texts.select("doc_id", F.col("text").cast("binary").alias("raw")).mapInArrow(_features(words), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
-    features = written(features, "near-features")
-    # A node is a distinct set; ids with two different texts are two rows of one node.
-    nodes = features.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
-    nodes = written(nodes, "near-nodes")
-    rows = nodes.where("id IS NOT NULL").select("id", F.explode("bands").alias("h"))
+def _components(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """``(id, component)`` of ``nodes(id, one, bands, bits)`` that are linked with another."""
+    rows = nodes.where("one.doc_id IS NOT NULL").select("id", F.explode("bands").alias("h")).distinct()
     held = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(held, "h").select("h", "id", "n").distinct(), "near-buckets")
+    shared = written(rows.join(held, "h").select("h", "id", "n"), "near-buckets")
     score = shared.groupBy("id").agg(F.sum("n").alias("score"))
     shared = written(shared.select("h", "id").join(score, "id"), "near-scores")
     ids = shared.select("id").distinct()
-    bits = written(nodes.join(ids, "id").select("id", "bits"), "near-bits")
-    sets = _full_sets(texts, ids, words)
-    # First one candidate a document: the best hub of its buckets, of its own score at least.
+    held = written(nodes.join(ids, "id").select("id", "one", "bits"), "near-held")
+    bits, sets = held.select("id", "bits"), _full_sets(texts, held, words)
+    # First one candidate a document: the best hub of its buckets.
     led = shared.join(hubs_of(shared), "h").where("id <> hub").join(score.select(F.col("id").alias("hub"), F.col("score").alias("best")), "hub")
     best = led.groupBy("id").agg(F.max(F.struct("best", "hub")).alias("x")).select("id", F.col("x.hub").alias("hub"))
-    pair = F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
-    tried = _likely(best.select(*pair).distinct(), bits)
-    links = _confirmed(tried, sets)
+    links = _confirmed(_likely(best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), bits), sets)
     found = connected_components(links)
-    # Then, in buckets that still hold two components or more, the members outside the hub's.
-    rest = several(shared, found)
-    hubs = hubs_of(rest.join(score, "id")).join(rest.select("h", F.col("id").alias("hub"), F.col("c").alias("hub_c")), ["h", "hub"])
-    tried, links, found = _round(rest.join(hubs, "h").where("c <> hub_c").select(*pair).distinct(), tried, links, found, bits, sets)
-    # What is left: the pairs of a bucket that are in different components.
-    rest = written(several(shared, found).join(bits, "id"), "near-rest")
-    left, right = rest.select("h", F.col("id").alias("a"), F.col("c").alias("c1"), F.col("bits").alias("p")), rest.select("h", F.col("id").alias("b"), F.col("c").alias("c2"), F.col("bits").alias("q"))
-    pairs = left.join(right, (left["h"] == right["h"]) & (F.col("c1") < F.col("c2")) & (similarity(F.col("p"), F.col("q")) >= FLOOR)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried, links, found = _round(pairs, tried, links, found, bits, sets)
-    named = nodes.select("f1", "f2", "id").join(found, "id", "left").select("f1", "f2", F.coalesce("component", "id").alias("c"))
-    # A document whose own id leads another set's component too: rows of equal doc_id are one node.
-    out = features.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Then what is left in buckets of several components.
+    pairs, rest = unsettled(shared, found, "near")
+    elements = rest.join(sets, "id").select("id", "c", "g", "s").mapInArrow(_elements, "id long, c long, g long, s long")
+    pairs = pairs.unionByName(prefix_pairs(written(elements, "near-elements")))
+    more = _confirmed(_likely(pairs, bits), sets)
+    return connected_components(links.unionByName(more))
+
+
+def _labelled(docs: DataFrame, words: int) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, u, n_shingles, component_id and whether the
+    row's text leads its component."""
+    small_batches(docs.sparkSession, 500)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("u"), "text")
+    features = texts.select("doc_id", "u", F.col("text").cast("binary").alias("raw")).mapInArrow(_features(words), "doc_id long, u long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
+    features = written(features, "near-features")
+    # A node is a distinct set, named by half of its print; of two sets with one name the lesser is compared.
+    full = features.where("n_shingles > 0")
+    nodes = full.groupBy("f1").agg(F.min("f2").alias("f2"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "u"))).alias("one"), F.min_by("bands", "f2").alias("bands"), F.min_by("bits", "f2").alias("bits"))
+    nodes = written(nodes.withColumnRenamed("f1", "id"), "near-nodes")
+    found = _components(nodes, texts, words).withColumnsRenamed({"id": "f1", "component": "c"})
+    rows = features.select("doc_id", "u", "n_shingles", "f1", "f2").join(nodes.select(F.col("id").alias("f1"), F.col("f2").alias("first"), F.col("one")), "f1", "left").join(found, "f1", "left")
+    alone = (F.col("n_shingles") == 0) | (F.col("f2") != F.col("first"))
+    rows = rows.withColumn("c", F.when(~alone, F.coalesce("c", "f1")))
+    leads = rows.where("c IS NOT NULL").select("c", "one").distinct().groupBy("c").agg(F.min("one").alias("lead"))
+    both = rows.join(leads, "c", "left")
+    lead = F.coalesce("lead.doc_id", "doc_id")
+    return both.select("doc_id", "u", "n_shingles", lead.alias("component_id"), (F.col("lead").isNull() | (F.struct("doc_id", "u") == F.col("lead"))).alias("leads"))
+
+
+def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
+    return _labelled(docs, words).select("doc_id", "n_shingles", "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one document of each component, that of the least doc_id, and those without doc_id."""
-    kept = near_components(docs, words).where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__id")).drop("__id").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    (u,) = fresh(docs, "u")
+    kept = _labelled(docs, words).where("leads AND doc_id IS NOT NULL").select("doc_id", F.col("u").alias(u)).distinct()
+    named = docs.where("doc_id IS NOT NULL").withColumn(u, F.xxhash64("text")).join(kept, ["doc_id", u], "left_semi")
+    return named.dropDuplicates(["doc_id", u]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

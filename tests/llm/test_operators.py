@@ -117,7 +117,7 @@ def test_estimate_follows_similarity(spark):
 
 
 def brute_lines(rows):
-    lines = sorted({(d, i, x) for d, t, *_ in rows if d is not None for i, x in enumerate((t or "").split("\n")) if len(x.strip(" ")) >= line_dedup.MIN_CHARS})
+    lines = sorted({(d, i, x) for d, t, *_ in rows if d is not None for i, x in enumerate((t or "").split("\n")) if x.strip(line_dedup.BLANK)})
     n = line_dedup.SHINGLE
 
     def shingles(x):
@@ -134,7 +134,7 @@ def brute_lines(rows):
 
     for i, x in enumerate(texts):
         for y in texts[:i]:
-            if len(sets[x] & sets[y]) >= line_dedup.THRESHOLD * len(sets[x] | sets[y]):
+            if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
                 a, b = sorted((find(x), find(y)))
                 comp[b] = a
     seen, gone = set(), set()
@@ -153,7 +153,7 @@ def test_line_dedup_across_components(spark):
     edits = [base[:i] + "#" + base[i + 1 :] for i in range(10, len(base) - 10, len(base) // 12)]
     far = [x[:20] + "@@@@" + x[24:150] + "%%%%" + x[154:] for x in edits[:2]]
     rows = [(i, x, "en", "s", 0) for i, x in enumerate([*edits, *far, base, *words(rng, [20] * 5)])]
-    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("__removed = 1").collect()}
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("n_removed = 1").collect()}
     assert got == {d for d, _ in brute_lines(rows)} and len(got) >= len(edits)
 
 
@@ -161,7 +161,7 @@ def test_line_dedup(spark, docs, empty):
     # Similarities well away from the threshold's edge, where banding may miss.
     want = brute_lines(awkward())
     got = line_dedup.dedup_lines(docs)
-    assert got.columns == docs.columns + ["__removed"]
+    assert got.columns == docs.columns + ["n_removed"]
     texts = {r.doc_id: r.text for r in got.collect()}
     for d, t, *_ in awkward():
         if d is not None:
@@ -173,7 +173,7 @@ def test_line_dedup(spark, docs, empty):
 def test_line_dedup_of_short_lines(spark):
     texts = ["Read more\n}\n\t\n一行字", "Subscribe now!\nRead more\n\t\r\n", "一行字\n}\n \nSubscribe now!\nAnd.", "Read more!\n\r"]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    got = {r.doc_id: (r.text, r["__removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {r.doc_id: (r.text, r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()}
     assert got == {0: (texts[0], 0), 1: ("Subscribe now!\n\t\r\n", 1), 2: (" \nAnd.", 3), 3: (texts[3], 0)}
 
 
@@ -185,7 +185,7 @@ def test_line_dedup_recall(spark):
         x = "".join(rng.choice("abcdefghijklmnop ") for _ in range(90 + i % 8))
         lines += [x, x[:45] + "#" + x[46:]]
     rows = [(i, x, "en", "s", 0) for i, x in enumerate(lines)]
-    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("__removed = 1").collect()}
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("n_removed = 1").collect()}
     print("missed", 2000 - len(got))
     assert got <= set(range(1, 4000, 2)) and len(got) >= 1998
 
