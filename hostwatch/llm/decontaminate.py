@@ -1,9 +1,9 @@
 """Benchmark decontamination: documents against the word windows of benchmark items.
 
-Only DataFrame functions.  A window's hash is looked up in a broadcast hash set, inside
-the scan's own code generation, so that no row is made for a document window unless it
-hits; hits are then verified word for word.  The set is broadcast only after it has been
-counted and found within ``BROADCAST_WINDOWS``; a larger one is joined by shuffle.
+Only DataFrame functions.  Document windows are exploded and their hashes looked up in a
+broadcast hash set inside the scan's own code generation, so that only hits become rows of
+a shuffle; hits are then verified word for word.  The set is broadcast only after it has
+been counted and found within ``BROADCAST_WINDOWS``; a larger one is joined by shuffle.
 
 Nulls, empty texts and texts without words have no windows and are never contaminated.
 Repeated rows give repeated results.  Extra columns are carried by ``decontaminate`` and
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import ascii_lower, table
+from hostwatch.llm.common import ascii_lower, fresh, table
 
 #: Words of text whose A-Z is still there, and of lower-cased text.
 ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -29,14 +29,21 @@ def _words(text, pattern):
     return F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
 
 
+def _folded(text):
+    """Unicode lower case, which is faster than A-Z alone.  Of its mappings only that of the
+    capital sigma looks at the neighbours; both small sigmas become one, so that words that
+    are equal with A-Z lowered are equal here."""
+    return F.replace(F.lower(text), F.lit("\u03c2"), F.lit("\u03c3"))
+
+
 def _loose(words, pos, n):
-    """Hash of a window under Unicode case folding: equal for all windows that are equal."""
+    """Hash of a window of folded words: equal for all windows that are equal."""
     return F.xxhash64(F.slice(words, pos, n))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(item_id, size, key, words)``: each item's windows; short items are one window."""
-    items = benchmark.select("item_id", _words(ascii_lower(F.col("text")), LOW_WORD).alias("w"), _words(F.lower("text"), LOW_WORD).alias("lw")).where(F.size("w") > 0)
+    items = benchmark.select("item_id", _words(ascii_lower(F.col("text")), LOW_WORD).alias("w"), _words(_folded("text"), LOW_WORD).alias("lw")).where(F.size("w") > 0)
     items = items.withColumn("size", F.least(F.size("w"), F.lit(window)))
     at = items.select("item_id", "size", "w", "lw", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1)).alias("p"))
     return at.select("item_id", "size", _loose(F.col("lw"), F.col("p"), F.col("size")).alias("key"), F.array_join(F.slice("w", F.col("p"), F.col("size")), " ").alias("words")).distinct()
@@ -47,7 +54,7 @@ def hits(docs: DataFrame, windows: DataFrame, broadcast_windows: int = BROADCAST
     0-based numbers of its hit words, items the distinct ids of the items that occur."""
     sizes = windows.agg(F.count("*"), F.collect_set("size")).first()  # sizes: at most WINDOW numbers
     small = F.broadcast if sizes[0] <= broadcast_windows else (lambda x: x)
-    words = docs.select("doc_id", "text", _words(F.lower("text"), LOW_WORD).alias("w"))
+    words = docs.select("doc_id", "text", _words(_folded("text"), LOW_WORD).alias("w"))
     sizes = sorted(sizes[1]) or [WINDOW]
     at = words.where(F.size("w") >= sizes[0]).select("doc_id", "text", "w", F.explode(F.sequence(F.lit(1), F.size("w") - sizes[0] + 1)).alias("p"))
     if len(sizes) == 1:
@@ -62,28 +69,25 @@ def hits(docs: DataFrame, windows: DataFrame, broadcast_windows: int = BROADCAST
     return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(span))).alias("covered"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
 
 
-def _with_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = hits(docs.select("doc_id", "text"), benchmark_windows(benchmark)).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("covered").alias("__covered"), F.col("items").alias("__items"))
-    return docs.withColumn("__text_hash", F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left")
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents") -> DataFrame:
     """``docs`` without contaminated documents, or (``spans``) without their hit words."""
-    both = _with_hits(docs, benchmark)
-    if action == "documents":
-        return both.where(F.col("__covered").isNull()).select(*docs.columns)
-    if action != "spans":
+    if action not in ("documents", "spans"):
         raise ValueError("action is documents or spans")
+    key, mine, theirs, covered = fresh(docs, "key", "mine", "theirs", "covered")
+    found = hits(docs.select("doc_id", "text"), benchmark_windows(benchmark)).select(F.col("doc_id").alias(key), F.col("text_hash").alias(theirs), F.col("covered").alias(covered))
+    both = docs.withColumn(mine, F.xxhash64("text")).join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(mine) == F.col(theirs)), "left")
+    if action == "documents":
+        return both.where(F.col(covered).isNull()).select(*docs.columns)
     words, gaps = _words(F.col("text"), ANY_WORD), F.split("text", ANY_WORD, -1)
-    kept = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.concat(F.get(gaps, i), F.when(F.array_contains("__covered", i), "").otherwise(F.get(words, i))))
-    text = F.when(F.col("__covered").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.element_at(gaps, -1)))
+    kept = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.concat(F.get(gaps, i), F.when(F.array_contains(covered, i), "").otherwise(F.get(words, i))))
+    text = F.when(F.col(covered).isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, ""), F.element_at(gaps, -1)))
     return both.withColumn("text", text).select(*docs.columns)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     docs = docs.select("doc_id", "text")
-    base = docs.select("doc_id", F.size(_words(F.lower("text"), LOW_WORD)).cast("long").alias("n_words"), F.xxhash64("text").alias("text_hash"))
+    base = docs.select("doc_id", F.size(_words(_folded("text"), LOW_WORD)).cast("long").alias("n_words"), F.xxhash64("text").alias("text_hash"))
     found = hits(docs, benchmark_windows(benchmark)).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     both = base.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     count = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")

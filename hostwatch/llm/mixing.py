@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import table, written
+from hostwatch.llm.common import fresh, table, written
 
-PARTS, BLOCK, RANGE_ROWS, BATCH = 1000, 16, 2000, 10_000
+PARTS, BLOCK, RANGE_ROWS, BATCH, BROADCAST_SOURCES = 1000, 16, 2000, 10_000, 100_000
 
 
 def whole_parts(weights: dict[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -99,50 +99,57 @@ def schedule(blocks: dict[str, int], parts: dict[str, int]) -> Iterator[tuple[st
 
 
 def _scheduled(block: int, weights: dict[str, float] | None):
-    """Rows ``(s, n)`` of all sources, in one task, to ``(__s, __b, phase, slot)``."""
+    """Rows ``(s, n)`` of all sources, in one task, to ``(s, b, phase, slot)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = {s: n for b in batches for s, n in zip(b.column("s").to_pylist(), b.column("n").to_pylist())}
-        target = {s: sqrt(n) if weights is None else weights.get(s, 0) for s, n in sizes.items()}
+        if weights is not None and (missing := sizes.keys() - weights.keys()):
+            raise ValueError(f"sources without a weight: {sorted(missing)[:5]}")
+        target = {s: sqrt(n) if weights is None else weights[s] for s, n in sizes.items()}
         rows = schedule({s: ceil(n / block) for s, n in sizes.items()}, exact_parts(target))
         while part := list(islice(rows, BATCH)):
             kinds = pa.string(), pa.int64(), pa.int32(), pa.int64()
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], ["__s", "__b", "__phase", "__slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], ["s", "b", "phase", "slot"])
 
     return run
 
 
-def ranked(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__source`` and ``__rank``, 0-based in the order of a hash of doc_id."""
-    spark = docs.sparkSession
-    keyed = docs.withColumns({"__source": F.coalesce("source", F.lit("")), "__order": F.xxhash64("doc_id")})
-    sizes = keyed.groupBy("__source").agg(F.count("*").alias("__n"))
+def source_sizes(docs: DataFrame) -> DataFrame:
+    """``(s, n)``: documents of each source, written."""
+    return written(docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n")), "mixing-sizes")
+
+
+def ranked(docs: DataFrame, sizes: DataFrame, source: str, rank: str) -> DataFrame:
+    """``docs`` with their source (not null) and 0-based rank in the order of a hash of
+    doc_id, as columns of the given names."""
+    order, n, part, count, before = fresh(docs, "order", "n", "range", "count", "before")
+    keyed = docs.withColumns({source: F.coalesce("source", F.lit("")), order: F.xxhash64("doc_id")})
+    sizes = F.broadcast(sizes.toDF(source, n)) if sizes.count() <= BROADCAST_SOURCES else sizes.toDF(source, n)
     # Ranges of the hash, as many as leave about RANGE_ROWS rows each; hashes are even.
-    ranges = F.ceil(F.col("__n") / RANGE_ROWS)
-    keyed = keyed.join(F.broadcast(sizes), "__source").withColumn("__range", F.floor((F.shiftrightunsigned("__order", 33)) * ranges / F.lit(float(1 << 31))).cast("long"))
-    columns = [c for c in keyed.columns if c not in ("__n",)]
-    keyed = keyed.select(*columns)
-    counts = keyed.groupBy("__source", "__range").agg(F.count("*").alias("__c"))
-    before = Window.partitionBy("__source").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).drop("__c")
+    ranges = F.ceil(F.col(n) / RANGE_ROWS)
+    keyed = keyed.join(sizes, source).withColumn(part, F.floor((F.shiftrightunsigned(order, 33)) * ranges / F.lit(float(1 << 31))).cast("long")).drop(n)
+    counts = keyed.groupBy(source, part).agg(F.count("*").alias(count))
+    earlier = Window.partitionBy(source).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(before, F.coalesce(F.sum(count).over(earlier), F.lit(0))).drop(count)
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "source")]
-    inside = Window.partitionBy("__source", "__range").orderBy(F.shiftrightunsigned("__order", 33), "__order", "doc_id", F.xxhash64(*others) if others else F.lit(0))
-    return keyed.join(counts, ["__source", "__range"]).withColumn("__rank", F.col("__before") + F.row_number().over(inside) - 1).drop("__before", "__range", "__order")
+    inside = Window.partitionBy(source, part).orderBy(F.shiftrightunsigned(order, 33), order, "doc_id", F.xxhash64(*others) if others else F.lit(0))
+    return keyed.join(counts, [source, part]).withColumn(rank, F.col(before) + F.row_number().over(inside) - 1).drop(before, part, order)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """``docs`` with ``phase``, ``slot`` (long) and ``place`` (in the block), which replace
     columns of these names.
 
-    weights: by source; those missing get the square root of their number of documents,
-    scaled to the same sum.  Sort by (slot, place) for the mixture's order.
+    weights: by source, positive; a source without one is an error.  None: the square root
+    of each source's number of documents.  Sort by (slot, place) for the mixture's order.
     """
-    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).agg(F.count("*").alias("n"))
-    slots = written(sizes.repartition(1).mapInArrow(_scheduled(block, weights), "__s string, __b long, __phase int, __slot long"), "mixing-slots")
-    blocks = ranked(docs).withColumns({"__block": F.floor(F.col("__rank") / block), "__place": (F.col("__rank") % block).cast("int")})
-    at = blocks.join(slots, (F.col("__source") == F.col("__s")) & (F.col("__block") == F.col("__b")))
-    own = [F.col(c) for c in docs.columns if c not in ("phase", "slot", "place")]
-    return at.select(*own, F.col("__phase").alias("phase"), F.col("__slot").alias("slot"), F.col("__place").alias("place"))
+    docs = docs.drop("phase", "slot", "place")
+    source, rank, s, b = fresh(docs, "of", "rank", "s", "b")
+    sizes = source_sizes(docs)
+    slots = written(sizes.repartition(1).mapInArrow(_scheduled(block, weights), "s string, b long, phase int, slot long"), "mixing-slots")
+    blocks = ranked(docs, sizes, source, rank)
+    at = blocks.join(slots.withColumnsRenamed({"s": s, "b": b}), (F.col(source) == F.col(s)) & (F.floor(F.col(rank) / block) == F.col(b)))
+    return at.select(*docs.columns, "phase", "slot", (F.col(rank) % block).cast("int").alias("place"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

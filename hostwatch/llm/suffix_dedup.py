@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import small_batches, table, written
+from hostwatch.llm.common import fresh, small_batches, table, written
 
 LENGTH, GRAM, SEGMENT, HOT, BLOCK, CHUNK = 400, 48, 200_000, 2000, 32, 2 << 20
 _U = np.uint64
@@ -306,28 +306,32 @@ def kept_parts(raw: bytes, los, his, length: int) -> tuple[bytes, int, int]:
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
 
 
-def _with_starts(docs: DataFrame, length: int, keep: str) -> DataFrame:
-    """``docs(..., doc_id, raw)`` with los and his."""
+def _starts(docs: DataFrame, length: int, keep: str) -> DataFrame:
+    """``docs(doc_id, raw)`` with los and his."""
     small_batches(docs.sparkSession, 500)
-    keyed = docs.withColumn("u", F.xxhash64("raw"))
-    at = repeated_starts(keyed.select("doc_id", "u", "raw"), length, keep)
-    return keyed.join(at, keyed["doc_id"].eqNullSafe(at["d"]) & (keyed["u"] == at["w"]), "left").drop("d", "w", "u")
+    keyed = docs.select("doc_id", F.xxhash64("raw").alias("u"), "raw")
+    at = repeated_starts(keyed, length, keep)
+    return keyed.join(at, keyed["doc_id"].eqNullSafe(at["d"]) & (keyed["u"] == at["w"]), "left").select("doc_id", "raw", "los", "his")
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, keep: str = "first") -> DataFrame:
     """``docs`` with repeated strings cut out of ``text``.  What a cut leaves of a character
     at its borders is dropped.  A string may overlap its earlier copy: of a long run of one
     character the first is left."""
+    small_batches(docs.sparkSession, 500)
+    raw, u, d, w, los, his = fresh(docs, "raw", "u", "d", "w", "los", "his")
+    named = docs.withColumn(raw, F.col("text").cast("binary")).withColumn(u, F.xxhash64(raw))
+    at = repeated_starts(named.select("doc_id", F.col(u).alias("u"), F.col(raw).alias("raw")), length, keep).toDF(d, w, los, his)
+    both = named.join(at, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(u) == F.col(w)), "left")
+    rest = docs.drop("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [None if r is None else kept_parts(r, lo, hi, length)[0].decode("utf-8", "ignore") for r, lo, hi in zip(*(b.column(c).to_pylist() for c in ("raw", "los", "his")))]
-            cols = {n: c for n, c in zip(b.schema.names, b.columns) if n not in ("raw", "los", "his")} | {"text": pa.array(texts, pa.string())}
+            texts = [None if r is None else kept_parts(r, lo, hi, length)[0].decode("utf-8", "ignore") for r, lo, hi in zip(*(b.column(c).to_pylist() for c in (raw, los, his)))]
+            cols = {n: c for n, c in zip(b.schema.names, b.columns) if n not in (raw, los, his)} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    both = _with_starts(docs.withColumn("raw", F.col("text").cast("binary")).drop("text"), length, keep)
-    rest = docs.drop("text")
-    out = both.select(*rest.columns, "raw", "los", "his").mapInArrow(run, rest.schema.add("text", "string"))
+    out = both.select(*rest.columns, raw, los, his).mapInArrow(run, rest.schema.add("text", "string"))
     return out.select(*docs.columns)
 
 
@@ -348,7 +352,7 @@ def _digest(length: int):
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("raw"))
-    return _with_starts(docs, LENGTH, "none").select("doc_id", "raw", "los", "his").mapInArrow(_digest(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _starts(docs, LENGTH, "none").mapInArrow(_digest(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 SQL: dict[str, str] = {}
