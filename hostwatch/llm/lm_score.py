@@ -14,8 +14,8 @@ slices, so that each training document is seen once.  Before training the output
 the counts' own shares.
 
 Scoring runs whole documents through the network, many side by side in lanes, state
-carried across windows.  Counts of the ``HOT`` commonest words are broadcast (a fixed
-number); the counts of all other words are joined.
+carried across windows.  Counts of the commonest words, ``HOT`` at most, are broadcast; the counts
+of all other words are joined.
 
 Null and empty texts are one end.  Repeated rows count and are scored as rows.  An empty
 training set: N and V are 0 and the network keeps its first weights.
@@ -37,7 +37,7 @@ from hostwatch.llm.common import small_batches, table, written
 
 CLASSES, WIDTH, HIDDEN, WINDOW, LANES = 32, 32, 16, 32, 512
 VOCABULARY = CLASSES * WIDTH
-HOT, ROUNDS, RATE, CLIP = 65_536, 8, 0.01, 1.0
+HOT, ROUNDS, RATE, CLIP = 65_536, 4, 0.01, 1.0
 OTHER, END = 0, 1
 CHUNK_TOKENS, FLUSH_WORDS = 3_000_000, 400_000
 SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, WIDTH), "wb": (CLASSES, WIDTH)}
@@ -57,68 +57,101 @@ def first_model(share: np.ndarray) -> Model:
     return m
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
-
-
 def _steps(m: Model, xs: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool):
     """The states after each step of a window (time, lane), and what going back needs."""
-    states, saved = np.empty((len(xs), xs.shape[1], HIDDEN), np.float32), []
+    shape = (len(xs), xs.shape[1], HIDDEN)
+    states, saved = np.empty(shape, np.float32), np.empty((5, *shape), np.float32) if keep else None
     for t, (ids, new) in enumerate(zip(xs, reset)):
         h = h * new[:, None]
         a, b = m["x"][ids], h @ m["u"]
-        gates = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * b[:, 2 * HIDDEN :])
+        gates = a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN]
+        np.negative(gates, gates)
+        np.exp(gates, gates)
+        gates += 1
+        np.reciprocal(gates, gates)
+        z, r, b = gates[:, :HIDDEN], gates[:, HIDDEN:], b[:, 2 * HIDDEN :]
+        n = r * b
+        n += a[:, 2 * HIDDEN :]
+        np.tanh(n, n)
         if keep:
-            saved.append((h, z, r, n, b[:, 2 * HIDDEN :]))
-        h = n + z * (h - n)
+            for place, x in zip(saved, (h, z, r, n, b)):
+                place[t] = x
+        h = h - n
+        h *= z
+        h += n
         states[t] = h
     return states, h, saved
 
 
+def _exp(s: np.ndarray) -> np.ndarray:
+    """``exp`` of each row of scores up to one factor a row, which ``s`` loses too."""
+    if s.max(initial=0) > 60:
+        s -= s.max(1, keepdims=True)
+    return np.exp(s)
+
+
 def _output(m: Model, h: np.ndarray, y: np.ndarray, grads: Model | None):
     """Log probability of each target under its state; with grads, their gradients too."""
-    rows, cls, word = np.arange(len(y)), y // WIDTH, y % WIDTH
-    s = h @ m["c"] + m["cb"]
-    s -= s.max(1, keepdims=True)
-    e = np.exp(s)
-    total = e.sum(1, keepdims=True)
-    logp = s[rows, cls] - np.log(total[:, 0])
+    cls = (y // WIDTH).astype(np.uint8)
+    order = np.argsort(cls, kind="stable")  # a class's targets side by side
+    cls, word, h = cls[order], (y % WIDTH)[order], h[order]
+    at = np.arange(len(y))
+    s = h @ m["c"]
+    s += m["cb"]
+    e = _exp(s)
+    total = e.sum(1)
+    logp = s[at, cls] - np.log(total)
     back = None
     if grads is not None:
-        d = e / total
-        d[rows, cls] -= 1
-        grads["c"], grads["cb"], back = h.T @ d, d.sum(0), d @ m["c"].T
-    order = np.argsort(cls, kind="stable")
-    for i, part in zip(np.unique(cls), np.split(order, np.flatnonzero(np.diff(cls[order])) + 1)):
-        s = h[part] @ m["w"][i] + m["wb"][i]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1, keepdims=True)
-        at = np.arange(len(part)), word[part]
-        logp[part] += s[at] - np.log(total[:, 0])
+        e /= total[:, None]
+        e[at, cls] -= 1
+        grads["c"], grads["cb"], back = h.T @ e, e.sum(0), e @ m["c"].T
+    ends = np.cumsum(np.bincount(cls, minlength=CLASSES))
+    for i, (lo, hi) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        if lo == hi:
+            continue
+        own = at[: hi - lo], word[lo:hi]
+        s = h[lo:hi] @ m["w"][i]
+        s += m["wb"][i]
+        e = _exp(s)
+        total = e.sum(1)
+        logp[lo:hi] += s[own] - np.log(total)
         if grads is not None:
-            d = e / total
-            d[at] -= 1
-            grads["w"][i], grads["wb"][i] = h[part].T @ d, d.sum(0)
-            back[part] += d @ m["w"][i].T
-    return logp, back
+            e /= total[:, None]
+            e[own] -= 1
+            grads["w"][i], grads["wb"][i] = h[lo:hi].T @ e, e.sum(0)
+            back[lo:hi] += e @ m["w"][i].T
+    out = np.empty_like(logp)
+    out[order] = logp
+    if back is not None:
+        given = np.empty_like(back)
+        given[order] = back
+        back = given
+    return out, back
 
 
 def _backward(m: Model, xs, saved, back, reset, grads: Model) -> None:
-    carry = np.zeros_like(back[0])
-    gates = np.empty((len(xs), xs.shape[1], 3 * HIDDEN), np.float32)
+    h, z, r, n, b = saved
+    gates, inner = np.empty((*xs.shape, 3 * HIDDEN), np.float32), np.empty((*xs.shape, 3 * HIDDEN), np.float32)
+    # What a step's gradient is multiplied by, for the whole window.
+    into_n = (1 - z) * (1 - n * n)
+    into_z, into_r = (h - n) * z * (1 - z), into_n * b * r * (1 - r)
+    turned, carry = np.ascontiguousarray(m["u"].T), np.zeros_like(back[0])
     for t in range(len(xs) - 1, -1, -1):
-        h, z, r, n, b = saved[t]
-        d = back[t] + carry
-        dn = d * (1 - z) * (1 - n * n)
-        dz, dr = d * (h - n) * z * (1 - z), dn * b * r * (1 - r)
-        g, gu = gates[t], np.concatenate([dz, dr, dn * r], 1)
-        g[:, :HIDDEN], g[:, HIDDEN : 2 * HIDDEN], g[:, 2 * HIDDEN :] = dz, dr, dn
-        grads["u"] += h.T @ gu
-        carry = (d * z + gu @ m["u"].T) * reset[t][:, None]
-    flat, ids = gates.reshape(-1, 3 * HIDDEN), xs.ravel()
+        d = back[t]
+        d += carry
+        g, gu = gates[t], inner[t]
+        np.multiply(d, into_z[t], g[:, :HIDDEN])
+        np.multiply(d, into_r[t], g[:, HIDDEN : 2 * HIDDEN])
+        np.multiply(d, into_n[t], g[:, 2 * HIDDEN :])
+        gu[:, : 2 * HIDDEN] = g[:, : 2 * HIDDEN]
+        np.multiply(g[:, 2 * HIDDEN :], r[t], gu[:, 2 * HIDDEN :])
+        carry = gu @ turned
+        d *= z[t]
+        carry += d
+        carry *= reset[t][:, None]
+    grads["u"] += h.reshape(-1, HIDDEN).T @ inner.reshape(-1, 3 * HIDDEN)
+    flat, ids = gates.reshape(-1, 3 * HIDDEN), xs.ravel().astype(np.int16)
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
     grads["x"][ids[order[first]]] = np.add.reduceat(flat[order], first, 0)
@@ -186,7 +219,7 @@ def train_documents(m: Model, docs: list[np.ndarray]) -> tuple[Model, int]:
         step += 1
         count = ok.sum()
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values())) / count
-        scale = min(1.0, CLIP / max(norm, 1e-9)) / count
+        scale = float(min(1.0, CLIP / max(norm, 1e-9)) / count)
         for k, g in grads.items():
             g = g * scale
             first[k] += 0.1 * (g - first[k])
@@ -239,6 +272,18 @@ def count_words(raw: DataFrame) -> DataFrame:
     return raw.select("raw").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def commonest(counts: DataFrame, most: int) -> list:
+    """The rows of the commonest words, ``most`` at most, by falling count: all words above
+    a count that a histogram of 8 steps an octave gives, at most 512 numbers."""
+    step = F.floor(F.log2("c") * 8)
+    sizes, least, total = dict(counts.groupBy(step.alias("s")).agg(F.count("*")).collect()), None, 0
+    for s in sorted(sizes, reverse=True):
+        if (total := total + sizes[s]) > most:
+            break
+        least = s
+    return [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))
+
+
 def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray) -> Model:
     """Rounds of data-parallel passes over ``raw(doc_id, raw)``, averaged by tokens."""
     spark, model = raw.sparkSession, first_model(share)
@@ -274,7 +319,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"), training.alias("training"))
     counts = written(count_words(raw.where("training")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = counts.orderBy(F.desc("c"), "word").limit(HOT).collect()  # HOT words at most
+    hot = commonest(counts, HOT)
     vocabulary, share = {}, np.zeros(VOCABULARY)
     for w, c in ((bytes(r.word), r.c) for r in hot):
         if w == b"":
