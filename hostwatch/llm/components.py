@@ -8,7 +8,7 @@ from math import log
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import written
+from hostwatch.llm.common import discard, written
 
 #: Similarity in percent, the ratio of a size class's ends, and members that make a bucket large.
 PERCENT, STEP, FEW = 80, 1.06, 8
@@ -46,7 +46,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        before = now
+        if before:
+            discard(last)
+        before, last = now, edges
 
 
 def hubs_of(members: DataFrame) -> DataFrame:
@@ -84,10 +86,14 @@ def prefix_pairs(members: DataFrame) -> DataFrame:
     sets of like size meet by few elements, and elements that a whole group has are reached
     only by sets that have hardly any others.
     """
-    seen = members.groupBy("g", "s").agg(F.count("*").alias("df"), F.min("c").alias("x"), F.max("c").alias("y"))
-    seen = seen.select("g", "s", "df", (F.col("x") < F.col("y")).alias("cross"))
+    members = members.select("id", "c", F.xxhash64("g", "s").alias("s"))
+    seen = members.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("x"), F.max("c").alias("y"), F.bit_xor(F.xxhash64("id")).alias("who"))
+    seen = seen.select("s", "df", "who", (F.col("x") < F.col("y")).alias("cross"))
     own = Window.partitionBy("id")
-    at = members.join(seen, ["g", "s"]).withColumns({"n": F.count("*").over(own), "pos": F.row_number().over(own.orderBy("cross", "df", "s"))})
+    order = own.orderBy("cross", "df", "who", "s")
+    at = members.join(seen, "s").withColumns({"n": F.count("*").over(own), "pos": F.row_number().over(order), "before": F.lag(F.struct("df", "who")).over(order)})
+    # Of elements that the very same sets have, which stand side by side in all of them, the first is enough.
+    at = at.where(F.col("before").isNull() | (F.col("before") != F.struct("df", "who")))
     size_class = lambda n: F.floor(F.log(n) / log(STEP) + 1e-9).cast("int")
     least_size = lambda k: F.ceil(F.pow(F.lit(STEP), k) - 1e-6)  # noqa: E731  of a class
     need = lambda n, m: F.ceil(PERCENT * (n + m) / (100 + PERCENT) - 1e-9)
@@ -95,8 +101,9 @@ def prefix_pairs(members: DataFrame) -> DataFrame:
     at = at.where(F.col("cross") & (pos <= n - F.ceil(PERCENT * n / 100 - 1e-9) + 1)).withColumn("own", size_class(n))
     reach = F.sequence(size_class(F.greatest(F.floor(n * PERCENT / 100), F.lit(1))), size_class(F.ceil(n * 100 / PERCENT)))
     dealt = at.withColumn("k", F.explode(reach)).where(pos <= n - need(n, F.greatest(least_size(k), F.ceil(PERCENT * n / 100 - 1e-9))) + 1)
-    dealt = dealt.select("g", "s", F.least("own", "k").alias("k1"), F.greatest("own", "k").alias("k2"), "own", "k", "id", "c", "n", "pos")
-    one, two = dealt.select("g", "s", "k1", "k2", F.col("own").alias("o1"), F.col("id").alias("a"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1")), dealt.select("g", "s", "k1", "k2", F.col("k").alias("o2"), F.col("id").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
+    dealt = dealt.select("s", F.least("own", "k").alias("k1"), F.greatest("own", "k").alias("k2"), "own", "k", "id", "c", "n", "pos")
+    one, two = dealt.select("s", "k1", "k2", F.col("own").alias("o1"), F.col("id").alias("a"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1")), dealt.select("s", "k1", "k2", F.col("k").alias("o2"), F.col("id").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     o = need(F.col("n1"), F.col("n2"))
-    met = one.join(two, ["g", "s", "k1", "k2"]).where((F.col("c1") < F.col("c2")) & (F.col("o1") == F.col("o2")) & (F.col("p1") <= F.col("n1") - o + 1) & (F.col("p2") <= F.col("n2") - o + 1))
+    meet = (F.col("c1") < F.col("c2")) & (F.col("o1") == F.col("o2")) & (F.col("p1") <= F.col("n1") - o + 1) & (F.col("p2") <= F.col("n2") - o + 1)
+    met = one.join(two, ["s", "k1", "k2"]).where(meet)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import by_key, fresh, small_batches, table, written
+from hostwatch.llm.common import by_key, discard, fresh, small_batches, table, written
 from hostwatch.llm.components import PERCENT, connected_components, hubs_of, prefix_pairs, unsettled
 
 BANDS, ROWS, BITS, FLOOR = 48, 8, 4, 0.70
@@ -202,9 +202,10 @@ def _components(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """``(id, component)`` of ``nodes(id, one, bands, bits)`` that are linked with another."""
     rows = nodes.where("one.doc_id IS NOT NULL").select("id", F.explode("bands").alias("h")).distinct()
     held = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    shared = written(rows.join(held, "h").select("h", "id", "n"), "near-buckets")
-    score = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    shared = written(shared.select("h", "id").join(score, "id"), "near-scores")
+    held = written(rows.join(held, "h").select("h", "id", "n"), "near-buckets")
+    shared = written(held.select("h", "id").join(held.groupBy("id").agg(F.sum("n").alias("score")), "id"), "near-scores")
+    discard(held)
+    score = shared.select("id", "score").distinct()
     ids = shared.select("id").distinct()
     held = written(nodes.join(ids, "id").select("id", "one", "bits"), "near-held")
     bits, sets = held.select("id", "bits"), _full_sets(texts, held, words)

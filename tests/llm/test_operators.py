@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hostwatch.llm import chat, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, repetition, suffix_dedup, warc
+from hostwatch.llm import chat, components, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, repetition, suffix_dedup, warc
 from hostwatch.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -537,3 +537,84 @@ def test_lm_gradient():
 def test_crc_is_what_spark_computes(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    # Sets of one group, each a component of its own: every pair of similarity 0.8 is among the candidates.
+    rng = random.Random(12)
+    sets = {}
+    for i in range(60):
+        base = set(range(1000 * (i // 12), 1000 * (i // 12) + 60 + 3 * (i % 4)))
+        gone = rng.sample(sorted(base), rng.randrange(0, 12))
+        sets[i] = (base - set(gone)) | {rng.randrange(10**6) for _ in range(rng.randrange(0, 8))} | ({7, 8} if i % 3 else set())
+    rows = [(i, i, 0, s) for i, x in sets.items() for s in x]
+    got = {(r.a, r.b) for r in components.prefix_pairs(spark.createDataFrame(rows, "id long, c long, g long, s long")).collect()}
+    near = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near and near <= got and len(got) < 60 * 59 / 2
+
+
+CLASH = ["u", "d", "w", "los", "his", "raw", "s", "b", "n", "at", "key", "mine", "theirs", "covered", "of", "rank", "order", "range", "count", "before", "x", "k", "h", "c"]
+ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "a"), (4, "a"), (4, "one other text of the same id\nwith a line that stands here and in another document"), (None, None), (None, "no id"), (5, "w" * 30_000), (6, " ".join(f"w{i}" for i in range(4000))), (7, "with a line that stands here and in another document\nand one more")]
+OPERATORS = {
+    "lines": line_dedup.dedup_lines, "near": near_dedup.near_dedup, "rules": repetition.judge, "suffix": suffix_dedup.dedup, "mix": mixing.mix,
+    "clean": lambda d: decontaminate.decontaminate(d, d.sparkSession.createDataFrame([(1, "one other text of"), (2, None)], "item_id long, text string")),
+    "quality": lambda d: quality.classify(d, quality.train(d, d.sparkSession.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_tables(spark, name):
+    # Nulls, empty and very long texts, repeated rows and ids, clashing names, no rows.
+    table = spark.createDataFrame([(d, t, "en", None if d == 3 else "s", 0) for d, t in ODD], DOCS).withColumns({c: F.lit("mine") for c in CLASH})
+    out = OPERATORS[name](table)
+    assert set(table.columns) <= set(out.columns)
+    rows = out.collect()
+    assert all(r[c] == "mine" for r in rows for c in CLASH)
+    want = {"near": len(ODD) - 1, "clean": len(ODD) - 1}.get(name, len(ODD))  # a repeated row; a contaminated row
+    assert len(rows) == want
+    assert OPERATORS[name](table.limit(0)).count() == 0
+    if name == "lines":
+        texts = Counter((r.doc_id, r.text) for r in rows)
+        assert texts[(4, "a")] == 2 and texts[(7, "and one more")] == 1 and texts[(4, ODD[5][1])] == 1
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    # Of rows (1, A) and (1, B) only A is known from an earlier document: B stays.
+    rows = [(0, "a line of a text", "", "", 0), (1, "a line of a text", "", "", 0), (1, "something else here", "", "", 0)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(0, rows[0][1]), (1, ""), (1, rows[2][1])]
+
+
+def test_trees_follow_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = rng.random((600, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 3] > 0.3)).astype(float)
+    trees = quality.fit(x, y)
+
+    def walk(row):
+        total = trees.base
+        for f, t, v in zip(trees.feature, trees.threshold, trees.value):
+            node = 0
+            for _ in range(quality.DEPTH):
+                node = 2 * node + (2 if row[f[node]] > t[node] else 1)
+            total += v[node - (2**quality.DEPTH - 1)]
+        return 1 / (1 + np.exp(-total))
+
+    got = trees.score(x)
+    assert np.allclose(got, [walk(r) for r in x]) and ((got > 0.5) == y).mean() > 0.9
+
+
+def test_lm_score_is_the_sum_of_its_steps():
+    # One document, a step at a time, in plain loops.
+    m, doc = lm_score.first_model(np.ones(lm_score.VOCABULARY)), [5, 900, 40, 0, 5, 1]
+    h, before, total = np.zeros(lm_score.HIDDEN), lm_score.END, 0.0
+    n = lm_score.HIDDEN
+    for i, y in enumerate(doc):
+        h = h * (i > 0)
+        a, b = m["x"][before], h @ m["u"]
+        z, r = 1 / (1 + np.exp(-(a[:n] + b[:n]))), 1 / (1 + np.exp(-(a[n : 2 * n] + b[n : 2 * n])))
+        h = (1 - z) * np.tanh(a[2 * n :] + r * b[2 * n :]) + z * h
+        for s, j in ((h @ m["c"] + m["cb"], y // lm_score.WIDTH), (h @ m["w"][y // lm_score.WIDTH] + m["wb"][y // lm_score.WIDTH], y % lm_score.WIDTH)):
+            total += s[j] - np.log(np.exp(s).sum())
+        before = y
+    assert lm_score.score_documents(m, [np.array(doc, np.int16)])[0] == pytest.approx(total, rel=1e-4)
