@@ -78,6 +78,15 @@ def error_shapes(records: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("e.shape").alias("shape")).agg(F.count("*").alias("records"))
 
 
+def error_shape_summary(records: DataFrame) -> DataFrame:
+    """One row: records with an error, their distinct texts and shapes, and shapes of one record."""
+    rows = records.where("probe_error <> ''").select("probe_error", error_shape("host", "probe_error")["shape"].alias("shape"))
+    texts = rows.groupBy("shape", "probe_error").agg(F.count("*").alias("n"))
+    shapes = texts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return shapes.agg(total("n").alias("records"), total("texts").alias("texts"), F.count("*").alias("shapes"), F.count_if(F.col("n") == 1).alias("singletons"))
+
+
 def fetchable_addresses(lookups: DataFrame) -> DataFrame:
     """``addrs`` cut to public ones in order; refused without one; the first is the budget key."""
     one = lookups.withColumn("__id", F.monotonically_increasing_id()) if "lookup_id" not in lookups.columns else lookups.withColumn("__id", F.col("lookup_id"))

@@ -99,16 +99,11 @@ def _blocked(names: DataFrame, suffixes: DataFrame) -> DataFrame:
 
 
 def filter_recent(names: DataFrame, window: str = "10 minutes") -> DataFrame:
-    """The first sighting of each host in each epoch-aligned window.  Pre-aggregated: a hot
-    host costs a row a task and window."""
-    return _tag_recent(names, window).where("NOT dup").drop("dup")
-
-
-def _tag_recent(names: DataFrame, window: str) -> DataFrame:
-    tagged = names.withColumns({"__w": F.window(F.col("seen_at"), window)["start"], "__o": F.struct(*ORDER_COLUMNS)})
-    first = tagged.groupBy(F.col("host").alias("__h"), F.col("__w").alias("__fw")).agg(F.min("__o").alias("__first"))
-    both = tagged.join(first, (tagged["host"] == F.col("__h")) & (tagged["__w"] == F.col("__fw")))
-    return both.withColumn("dup", F.col("__o") != F.col("__first")).drop("__w", "__o", "__h", "__fw", "__first")
+    """The first sighting of each host in each epoch-aligned window.  One partial
+    aggregation: a hot host costs a row a task and window, and nothing is joined."""
+    order = F.struct(*ORDER_COLUMNS)
+    first = names.groupBy("host", F.window(F.col("seen_at"), window)["start"].alias("w")).agg(F.min_by(F.struct(*names.columns), order).alias("x"))
+    return first.select("x.*")
 
 
 ORDER_COLUMNS = ["seen_at", "source", "idx", "cert_id"]
@@ -121,7 +116,10 @@ def cap_per_parent(names: DataFrame, known: DataFrame | None = None, limit: int
     starts at the first charged sighting after the last one elapsed; that is a rule about
     one sequence per parent, followed row by row in sorted partitions with a state of two
     numbers and the accepted hosts.  epoch: aligned windows, ranks over first sightings.
+    A limit of 0 or less lets all through.
     """
+    if limit <= 0:
+        return names
     free = F.coalesce(F.col("host") == F.col("parent"), F.lit(True))
     if known is not None:
         names = names.join(known.select(F.col("host").alias("__k")).distinct(), F.col("host") == F.col("__k"), "left").withColumn("__free", free | F.col("__k").isNotNull()).drop("__k")
@@ -169,24 +167,26 @@ def _anchored(limit: int, window_seconds: int):
 def verdicts(certs: DataFrame, rules: DataFrame, suffixes: DataFrame, records: DataFrame, max_depth: int = 1, recent: str = "10 minutes", limit: int = 20, window_seconds: int = 600) -> DataFrame:
     """Each name with its ``verdict``: too_deep, blocked, dup, capped, new or repeat, in the
     order of the stages; a stage sees only what the earlier ones let pass."""
-    names = with_registrable(expand_cert(certs), rules)
+    names = with_registrable(expand_cert(certs), rules).withColumnRenamed("registrable", "parent")
     deep = F.col("depth").isNull() | ((F.col("depth") > max_depth) if max_depth > 0 else F.lit(False))
-    shallow = names.where(~deep)
-    bad = _blocked(shallow, suffixes).withColumn("__b", F.lit(True))
-    tagged = shallow.join(bad, "host", "left")
-    fresh = _tag_recent(tagged.where("__b IS NULL").drop("__b"), recent)
-    passed = fresh.where("NOT dup").drop("dup").withColumnRenamed("registrable", "parent")
-    stored = records.select("host").distinct()
-    kept = cap_per_parent(passed, stored, limit, window_seconds, "epoch").withColumn("__ok", F.lit(True)) if limit > 0 else passed.withColumn("__ok", F.lit(True))
-    capped = passed.join(kept.select("cert_id", "host", "__ok"), ["cert_id", "host"], "left")
-    first = capped.where("__ok").groupBy("host").agg(F.min(F.struct(*ORDER_COLUMNS)).alias("__f"))
-    last = capped.join(first, "host", "left").join(stored.withColumn("__s", F.lit(True)), "host", "left")
-    verdict = F.when(F.col("__ok").isNull(), "capped").when(F.col("__s").isNull() & (F.struct(*ORDER_COLUMNS) == F.col("__f")), "new").otherwise("repeat")
-    cols = ["cert_id", "host", "origin", "verdict"]
-    return (
-        names.where(deep).withColumn("verdict", F.lit("too_deep")).select(*cols).unionByName(tagged.where("__b").withColumn("verdict", F.lit("blocked")).select(*cols))
-        .unionByName(fresh.where("dup").withColumn("verdict", F.lit("dup")).select(*cols)).unionByName(last.withColumn("verdict", verdict).select(*cols))
-    )
+    bad = _blocked(names, suffixes).withColumn("bad", F.lit(True))
+    stored = records.select("host").distinct().withColumn("stored", F.lit(True))
+    rows = names.join(bad, "host", "left").join(stored, "host", "left")
+    # One lineage from here: each stage ranks the rows that are still in, beside the others.
+    rows = rows.withColumn("verdict", F.when(deep, "too_deep").when(F.col("bad"), "blocked"))
+    inside, at = F.col("verdict").isNull(), [F.col(c) for c in ORDER_COLUMNS]
+    again = F.row_number().over(Window.partitionBy(inside, "host", F.window("seen_at", recent)["start"]).orderBy(*at)) > 1
+    rows = rows.withColumn("again", again).withColumn("verdict", F.when(inside & F.col("again"), "dup").otherwise(F.col("verdict")))
+    if limit > 0:
+        # A parent's hosts in the order of their first sightings; itself, hosts without parent and known hosts are free.
+        charged = inside & (F.col("host") != F.col("parent")) & F.col("stored").isNull()
+        rows = rows.withColumn("charged", F.coalesce(charged, F.lit(False)))
+        rows = rows.withColumn("f", F.min(F.struct("seen_at", "idx")).over(Window.partitionBy("charged", "parent", "host")))
+        turn = F.dense_rank().over(Window.partitionBy("charged", "parent", F.window("f.seen_at", f"{window_seconds} seconds")["start"]).orderBy("f.seen_at", "f.idx", "host"))
+        rows = rows.withColumn("turn", turn).withColumn("verdict", F.when(F.col("charged") & (F.col("turn") > limit), "capped").otherwise(F.col("verdict")))
+    first = F.col("stored").isNull() & (F.row_number().over(Window.partitionBy(inside, "host").orderBy(*at)) == 1)
+    rows = rows.withColumn("first", first).withColumn("verdict", F.coalesce("verdict", F.when(F.col("first"), "new").otherwise("repeat")))
+    return rows.select("cert_id", "host", "origin", "verdict")
 
 
 def ingest_funnel(certs: DataFrame, rules: DataFrame, suffixes: DataFrame, records: DataFrame, **options) -> DataFrame:
@@ -194,5 +194,6 @@ def ingest_funnel(certs: DataFrame, rules: DataFrame, suffixes: DataFrame, recor
     v = verdicts(certs, rules, suffixes, records, **options)
     kinds = ("too_deep", "blocked", "dup", "capped", "new", "repeat")
     counts = v.agg(F.count("*").alias("names"), F.count_if(F.col("origin") == "san").alias("from_san"), *(F.count_if(F.col("verdict") == k).alias(k) for k in kinds))
-    more = certs.agg(F.count("*").alias("certs"), F.count_if((F.col("cn") != "") & (F.size(expand_name("cn")) == 0)).alias("skipped_cn"))
+    cut = F.sum("sans_cut") if "sans_cut" in certs.columns else F.lit(None)  # made by apply_san_policy
+    more = certs.agg(F.count("*").alias("certs"), F.coalesce(cut, F.lit(0)).cast("long").alias("sans_cut"), F.count_if((F.col("cn") != "") & (F.size(expand_name("cn")) == 0)).alias("skipped_cn"))
     return more.withColumn("__one", F.lit(1)).join(counts.withColumn("__one", F.lit(1)), "__one").drop("__one")

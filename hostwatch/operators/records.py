@@ -120,3 +120,9 @@ def unused_dimension_rows(dimension: DataFrame, records: DataFrame, column: str)
     """Rows that no record refers to, and their bytes; '' is never one."""
     used = records.select(F.col(column).alias("value"))
     return dimension.where("value <> ''").join(used, "value", "left_anti").select("id", "value", F.octet_length("value").cast("long").alias("bytes"))
+
+
+def sweep_dimension(dimension: DataFrame, records: DataFrame, column: str) -> DataFrame:
+    """``dimension`` without its unused rows; ids stay as they are, and '' stays."""
+    used = records.select(F.col(column).alias("value")).where(F.col(column) != "").distinct()
+    return dimension.where("value = ''").unionByName(dimension.where("value <> ''").join(used, "value", "left_semi").select(*dimension.columns))

@@ -9,7 +9,8 @@ from hostwatch.operators.fetches import fold_fetches
 from hostwatch.operators.queue import seed_queue
 from hostwatch.operators.records import as_records, expand_cert, fold_sightings
 
-HOST = "regexp_replace(regexp_replace(url, '^.*?://', ''), '[/?#].*$', '')"
+#: The url's host for a third of the pages, which stay few and hot; the others have one of their own.
+HOST = "concat(CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('n', cast(page_id AS string), '.') END, regexp_replace(regexp_replace(url, '^.*?://', ''), '[/?#].*$', ''))"
 RULES = [("e", x) for x in ("com", "net", "org", "test", "dev", "uk", "co.uk", "br", "com.br")] + [("w", "ck"), ("x", "www.ck")]
 BLOCKED = ["cheap-pills.example.com", "spam-farm.example.org", "workers.dev"]
 NOW = "2024-01-02 03:00:00"
@@ -33,7 +34,7 @@ def fetches(spark: SparkSession, d: str) -> DataFrame:
         "CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 9 = 0 THEN 404 ELSE 200 END AS status",
         "CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 4 = 0 THEN concat('https://', h, '/landing') ELSE concat('https://', h, '/') END AS final_url",
         "CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 2 = 0 THEN concat('tpl', cast(page_id % 6 AS string)) ELSE html END AS body",
-        "CASE WHEN page_id % 11 = 0 THEN concat('Get \"https://', h, '/\": dial tcp 178.142.12.', cast(page_id % 200 AS string), ':443: connect: connection refused') ELSE '' END AS error",
+        "CASE WHEN page_id % 11 = 0 THEN concat('Get \"https://', h, '/\": dial tcp 46.28.109.', cast(page_id % 200 AS string), ':443: connect: connection refused') ELSE '' END AS error",
         "CASE WHEN page_id % 13 = 0 THEN 'address_budget' WHEN page_id % 17 = 0 THEN 'no_dns_answer' ELSE '' END AS deferred_reason",
     )
 
@@ -110,7 +111,7 @@ S_FOLD = f"""{S_NAMES}, folded AS (SELECT host, min(seen_at) first_seen, max(see
  coalesce(max_by(issuer, ord) FILTER (WHERE issuer <> ''), '') issuer FROM (SELECT *, struct_pack(a := seen_at, b := source, c := idx) ord FROM names) GROUP BY host)"""
 S_FETCHES = f"""fetches AS (SELECT page_id fetch_id, h host, TIMESTAMP '2024-01-02 00:00:00' + to_minutes(page_id) fetched_at, CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 9 = 0 THEN 404 ELSE 200 END status,
  CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 4 = 0 THEN 'https://' || h || '/landing' ELSE 'https://' || h || '/' END final_url, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'tpl' || (page_id % 6) ELSE html END body,
- CASE WHEN page_id % 11 = 0 THEN 'Get "https://' || h || '/": dial tcp 178.142.12.' || (page_id % 200) || ':443: connect: connection refused' ELSE '' END error,
+ CASE WHEN page_id % 11 = 0 THEN 'Get "https://' || h || '/": dial tcp 46.28.109.' || (page_id % 200) || ':443: connect: connection refused' ELSE '' END error,
  CASE WHEN page_id % 13 = 0 THEN 'address_budget' WHEN page_id % 17 = 0 THEN 'no_dns_answer' ELSE '' END deferred_reason FROM (SELECT *, {HOST} h FROM pages))"""
 S_CHANGES = f"""{S_FETCHES}, done AS (SELECT *, CASE WHEN error = '' THEN coalesce(sha256(body), '') ELSE '' END hash, CASE WHEN error = '' THEN coalesce(strlen(body), 0) ELSE 0 END size FROM fetches WHERE deferred_reason = ''),
  changes AS (SELECT host, fetched_at changed_at, prev prev_hash, hash body_hash, fetch_id FROM (SELECT *, lag(hash) OVER (PARTITION BY host ORDER BY fetched_at, fetch_id) prev FROM done WHERE hash <> '') WHERE prev <> hash)"""

@@ -45,7 +45,7 @@ add("body_hash", lambda s, d: X.fetches(s, d).select("fetch_id", P.body_hash("bo
 add("issuer_name", lambda s, d: X.certs(s, d).select("cert_id", P.issuer_name("issuer", F.array(F.lit("Org"))).alias("issuer")), f"WITH {X.S_CERTS} SELECT cert_id, CASE WHEN issuer = '' THEN 'Org' ELSE issuer END issuer FROM certs")
 add("note_origin", lambda s, d: X._read(s, d, "pages").select("page_id", P.note_origin("url").alias("origin")), "SELECT page_id, rtrim(regexp_replace(regexp_replace(url, '^https://', ''), '^http://', ''), '/') origin FROM pages")
 add("unix_times", lambda s, d: X.feed(s, d).select("event_id", P.to_seconds("seen_at").alias("seconds"), P.from_unix_float(P.to_seconds("seen_at") + F.lit(0.25)).cast("timestamp_ntz").alias("ts")), f"WITH {X.S_EVENTS} SELECT event_id, CAST(floor(epoch(seen_at)) AS BIGINT) \"seconds\", make_timestamp(CAST(floor(epoch(seen_at)) AS BIGINT) * 1000000 + 250000) ts FROM feed")
-add("error_shape", lambda s, d: X.fetches(s, d).select("fetch_id", error_shape_v4("host", "error").alias("e")).select("fetch_id", "e.shape", F.array_join("e.args", ",").alias("args")), f"WITH {X.S_FETCHES} SELECT fetch_id, regexp_replace(replace(error, host, chr(1)), '178\\.142\\.12\\.\\d+', chr(2), 'g') shape, regexp_extract(error, '178\\.142\\.12\\.\\d+') args FROM fetches")
+add("error_shape", lambda s, d: X.fetches(s, d).select("fetch_id", error_shape_v4("host", "error").alias("e")).select("fetch_id", "e.shape", F.array_join("e.args", ",").alias("args")), f"WITH {X.S_FETCHES} SELECT fetch_id, regexp_replace(replace(error, host, chr(1)), '46\\.28\\.109\\.\\d+', chr(2), 'g') shape, regexp_extract(error, '46\\.28\\.109\\.\\d+') args FROM fetches")
 _IP = "(\\b\\d{1,3}(?:\\.\\d{1,3}){3}\\b)"
 add("public_addresses", lambda s, d: X._read(s, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_IP), 1)).alias("ip")).distinct().select("doc_id", "ip", is_public_v4("ip").alias("public")),
     f"WITH a AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_IP}')) ip FROM documents), b AS (SELECT *, [CAST(x AS BIGINT) FOR x IN string_split(ip, '.')] o FROM a) SELECT doc_id, ip, coalesce(list_max(o) <= 255 AND NOT regexp_matches(ip, '(^|\\.)0\\d') AND NOT (o[1] IN (0, 10, 127) OR o[1] >= 224 AND o[1] < 240 OR ip = '255.255.255.255' OR o[1] = 100 AND o[2] BETWEEN 64 AND 127 OR o[1] = 169 AND o[2] = 254 OR o[1] = 172 AND o[2] BETWEEN 16 AND 31 OR o[1] = 192 AND o[2] = 168 OR o[1] = 192 AND o[2] = 0 AND o[3] = 0 OR o[1] = 198 AND o[2] IN (18, 19)), false) public FROM b")
@@ -71,7 +71,7 @@ _VERDICT = f"""{X.S_REG}, {X.S_BLOCK}, stored AS (SELECT 'no.such.host' host), d
  fi AS (SELECT registrable, host, min(struct_pack(a := seen_at, b := idx)) o FROM pass WHERE host <> registrable GROUP BY 1, 2), ok AS (SELECT registrable, host FROM (SELECT *, row_number() OVER (PARTITION BY registrable, time_bucket(INTERVAL 10 MINUTE, o.a) ORDER BY o) r FROM fi) WHERE r <= 20),
  kept AS (SELECT p.*, p.host = p.registrable OR EXISTS (SELECT 1 FROM ok WHERE ok.registrable = p.registrable AND ok.host = p.host) k FROM pass p), fin AS (SELECT *, CASE WHEN NOT k THEN 'capped' WHEN row_number() OVER (PARTITION BY host, k ORDER BY seen_at, source, idx, cert_id) = 1 THEN 'new' ELSE 'repeat' END v FROM kept)"""
 add("ingest_funnel", lambda s, d: filters.ingest_funnel(X.certs(s, d), X.rules(s), X.blocklist(s), s.createDataFrame([("no.such.host",)], "host string")),
-    f"WITH {_VERDICT} SELECT (SELECT count(*) FROM certs) certs, (SELECT count(*) FROM certs c WHERE cn <> '' AND NOT EXISTS (SELECT 1 FROM spread s WHERE s.cert_id = c.cert_id AND pos = 0)) skipped_cn, (SELECT count(*) FROM names) \"names\", (SELECT count(*) FROM names WHERE origin = 'san') from_san, (SELECT count(*) FROM deep WHERE deep) too_deep, (SELECT count(*) FROM bl WHERE bl) blocked, (SELECT count(*) FROM du WHERE dup) dup, count(*) FILTER (WHERE v = 'capped') capped, count(*) FILTER (WHERE v = 'new') \"new\", count(*) FILTER (WHERE v = 'repeat') repeat FROM fin")
+    f"WITH {_VERDICT} SELECT (SELECT count(*) FROM certs) certs, CAST(0 AS BIGINT) sans_cut, (SELECT count(*) FROM certs c WHERE cn <> '' AND NOT EXISTS (SELECT 1 FROM spread s WHERE s.cert_id = c.cert_id AND pos = 0)) skipped_cn, (SELECT count(*) FROM names) \"names\", (SELECT count(*) FROM names WHERE origin = 'san') from_san, (SELECT count(*) FROM deep WHERE deep) too_deep, (SELECT count(*) FROM bl WHERE bl) blocked, (SELECT count(*) FROM du WHERE dup) dup, count(*) FILTER (WHERE v = 'capped') capped, count(*) FILTER (WHERE v = 'new') \"new\", count(*) FILTER (WHERE v = 'repeat') repeat FROM fin")
 
 
 # Records and fetches.
@@ -90,12 +90,14 @@ REC = f"{R}, rev_host, probed, probed_at, http_status, final_url, body_size, bod
 add("fold_fetches", lambda s, d: X.records(s, d), f"WITH {X.S_RECORDS} SELECT {REC} FROM records")
 add("fetch_funnel", lambda s, d: fetches.fetch_funnel(X.fetches(s, d), X.first_records(s, d)), f"WITH {X.S_RECORDS} SELECT count(*) FILTER (WHERE deferred_reason = '') probed, count(*) FILTER (WHERE deferred_reason = '' AND error <> '') probe_failed, count(*) FILTER (WHERE deferred_reason = 'address_budget') throttled, count(*) FILTER (WHERE deferred_reason = 'no_dns_answer') unresolved, count(*) FILTER (WHERE deferred_reason <> '') deferred, (SELECT count(*) FROM changes JOIN folded USING (host)) changed FROM fetches JOIN folded USING (host)")
 add("shared_bodies", lambda s, d: fetches.shared_bodies(X.records(s, d)), f"WITH {X.S_RECORDS} SELECT body_hash, count(*) hosts, min(host) first_host, max(host) last_host FROM records WHERE body_hash <> '' GROUP BY 1 HAVING count(*) >= 2")
-add("error_shapes", lambda s, d: X.records(s, d).where("probe_error <> ''").groupBy(error_shape_v4("host", "probe_error")["shape"].alias("shape")).agg(F.count("*").alias("records")), f"WITH {X.S_RECORDS} SELECT regexp_replace(replace(probe_error, host, chr(1)), '178\\.142\\.12\\.\\d+', chr(2), 'g') shape, count(*) records FROM records WHERE probe_error <> '' GROUP BY 1")
+add("error_shapes", lambda s, d: X.records(s, d).where("probe_error <> ''").groupBy(error_shape_v4("host", "probe_error")["shape"].alias("shape")).agg(F.count("*").alias("records")), f"WITH {X.S_RECORDS} SELECT regexp_replace(replace(probe_error, host, chr(1)), '46\\.28\\.109\\.\\d+', chr(2), 'g') shape, count(*) records FROM records WHERE probe_error <> '' GROUP BY 1")
 _AD = "array(concat('10.0.0.', cast(event_id % 200 AS string)), concat('203.0.', cast(event_id % 200 AS string), '.1'), concat('100.64.0.', cast(event_id % 9 AS string)))"
 add("fetchable_addresses", lambda s, d: fetches.fetchable_addresses(X.lookups(s, d).withColumn("lookup_id", F.col("event_id")).withColumn("addrs", F.expr(f"IF(event_id % 3 = 0, slice({_AD}, 1, 1), {_AD})"))).select("lookup_id", F.array_join("addrs", ",").alias("addrs"), "refused", "budget_key"), f"WITH {X.S_EVENTS} SELECT event_id lookup_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE '203.0.' || (event_id % 200) || '.1' END addrs, event_id % 3 = 0 refused, CASE WHEN event_id % 3 <> 0 THEN '203.0.' || (event_id % 200) || '.1' END budget_key FROM lookups")
 add("scan_records", lambda s, d: records.scan_records(X.first_records(s, d)).select("rev_host", "host"), f"WITH {X.S_FOLD} SELECT array_to_string(list_reverse(string_split(host, '.')), '.') rev_host, host FROM folded")
 add("build_dimension", lambda s, d: records.build_dimension(X.first_records(s, d), "cert_name"), f"WITH {X.S_FOLD} SELECT CAST(row_number() OVER (ORDER BY encode(v)) AS BIGINT) id, v \"value\" FROM (SELECT DISTINCT cert_name v FROM folded WHERE cert_name <> '') UNION ALL SELECT 0, ''")
 add("unused_dimension_rows", lambda s, d: records.unused_dimension_rows(records.build_dimension(X.first_records(s, d), "issuer"), X.first_records(s, d).where("issuer <> 'CA1'"), "issuer"), f"WITH {X.S_FOLD}, v AS (SELECT issuer, row_number() OVER (ORDER BY issuer) id FROM (SELECT DISTINCT issuer FROM folded WHERE issuer <> '')) SELECT id, issuer \"value\", CAST(strlen(issuer) AS BIGINT) bytes FROM v WHERE issuer = 'CA1'")
+add("sweep_dimension", lambda s, d: records.sweep_dimension(records.build_dimension(X.first_records(s, d), "issuer"), X.first_records(s, d).where("issuer <> 'CA1'"), "issuer"), f"WITH {X.S_FOLD}, v AS (SELECT issuer, row_number() OVER (ORDER BY issuer) id FROM (SELECT DISTINCT issuer FROM folded WHERE issuer <> '')) SELECT id, issuer \"value\" FROM v WHERE issuer <> 'CA1' UNION ALL SELECT 0, ''")
+add("error_shape_summary", lambda s, d: fetches.error_shape_summary(X.records(s, d)), f"WITH {X.S_RECORDS}, e AS (SELECT probe_error t, regexp_replace(replace(probe_error, host, chr(1)), '46\\.28\\.109\\.\\d+', chr(2), 'g') shape FROM records WHERE probe_error <> ''), g AS (SELECT shape, count(*) n, count(DISTINCT t) texts FROM e GROUP BY 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) records, CAST(coalesce(sum(texts), 0) AS BIGINT) texts, count(*) shapes, count(*) FILTER (WHERE n = 1) singletons FROM g")
 
 # Queue.
 Z = f"WITH {X.S_QUEUE}"
@@ -118,7 +120,7 @@ add("list_records_top", lambda s, d: reports.list_records(X.records(s, d), now()
 add("under", lambda s, d: reports.under(X.records(s, d), " .Example.COM. ").select("host"), f"WITH {X.S_RECORDS} SELECT host FROM records WHERE rev_host = 'com.example' OR rev_host LIKE 'com.example.%'")
 add("export_tsv", lambda s, d: reports.export_records(X.records(s, d)), f"WITH {X.S_RECORDS} SELECT host || chr(9) || http_status || chr(9) || CASE WHEN body_hash = '' THEN '-' ELSE body_hash END || chr(9) || strftime(first_seen, '%Y-%m-%dT%H:%M:%SZ') \"value\" FROM records")
 add("export_json", lambda s, d: reports.export_records(X.records(s, d), "json").select(F.get_json_object("value", "$.host").alias("host"), F.get_json_object("value", "$.body_hash").alias("body_hash"), F.get_json_object("value", "$.http_status").cast("int").alias("http_status")), f"WITH {X.S_RECORDS} SELECT host, nullif(body_hash, '') body_hash, nullif(http_status, 0) http_status FROM records")
-add("record_stats", lambda s, d: reports.record_stats(X.records(s, d), X.queue(s, d), now()), f"{Z} SELECT count(*) domains, count(*) FILTER (WHERE probed) probed, count(*) FILTER (WHERE body_hash <> '') with_hash, count(*) FILTER (WHERE from_wildcard) wildcards, count(*) FILTER (WHERE probe_error <> '') errors, count(*) FILTER (WHERE prev_hash <> '') changed, count(DISTINCT nullif(source, '')) sources, count(DISTINCT nullif(issuer, '')) issuers, count(DISTINCT CASE WHEN probe_error <> '' THEN regexp_replace(replace(probe_error, host, chr(1)), '178\\.142\\.12\\.\\d+', chr(2), 'g') END) error_shapes, (SELECT count(*) FROM queue) queued, (SELECT min(due) FROM queue) oldest_due, (SELECT count(*) FROM queue WHERE due <= {T}) waiting FROM records")
+add("record_stats", lambda s, d: reports.record_stats(X.records(s, d), X.queue(s, d), now()), f"{Z} SELECT count(*) domains, count(*) FILTER (WHERE probed) probed, count(*) FILTER (WHERE body_hash <> '') with_hash, count(*) FILTER (WHERE from_wildcard) wildcards, count(*) FILTER (WHERE probe_error <> '') errors, count(*) FILTER (WHERE prev_hash <> '') changed, count(DISTINCT nullif(source, '')) sources, count(DISTINCT nullif(issuer, '')) issuers, count(DISTINCT CASE WHEN probe_error <> '' THEN regexp_replace(replace(probe_error, host, chr(1)), '46\\.28\\.109\\.\\d+', chr(2), 'g') END) error_shapes, (SELECT count(*) FROM queue) queued, (SELECT min(due) FROM queue) oldest_due, (SELECT count(*) FROM queue WHERE due <= {T}) waiting FROM records")
 add("coverage_by_tld", lambda s, d: reports.coverage_by_tld(X.records(s, d)), f"WITH {X.S_RECORDS} SELECT string_split(host, '.')[-1] tld, count(*) hosts, count(*) FILTER (WHERE probed) probed, round(avg(CAST(probed AS INT)), 6) \"share\" FROM records GROUP BY 1")
 add("coverage_by_age", lambda s, d: reports.coverage_by_age(X.records(s, d), now("2024-01-01 04:00:00")), f"WITH {X.S_RECORDS} SELECT CASE WHEN first_seen > TIMESTAMP '2024-01-01 03:00:00' THEN 'hour' WHEN first_seen > TIMESTAMP '2023-12-31 04:00:00' THEN 'day' ELSE 'older' END age, count(*) hosts, round(avg(CAST(probed AS INT)), 6) \"share\" FROM records GROUP BY 1")
 _CUT = "2024-01-01 02:00:00"

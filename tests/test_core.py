@@ -13,14 +13,18 @@ from hostwatch.sources import feeds as sources
 from hostwatch.sources import tables
 
 
-@pytest.mark.parametrize("cn, want", [
-    ("example.com", ["example.com"]), ("  Shop.Example.COM. ", ["shop.example.com"]), ("*.example.com", ["example.com", "www.example.com"]), ("*.www.example.com", ["www.example.com"]),
-    ("xn--80ak6aa92e.xn--p1ai", ["xn--80ak6aa92e.xn--p1ai"]), ("https://example.com/path", ["example.com"]), ("", []), ("*", []), ("*.*.example.com", []), ("localhost", []), ("192.0.2.1", []),
-    ("2001:db8::1", []), ("R3", []), ("DigiCert Global Root CA", []), ("admin@example.com", []), ("example.com:8443", []), ("-bad.example.com", []), ("bad-.example.com", []), ("example.123", []), ("example.c", []), ("..", []),
-])
-def test_expand_name(spark, cn, want):
-    got = spark.createDataFrame([(cn,)], "c string").select(P.expand_name("c").alias("n")).first().n
-    assert [x.host for x in got] == want
+#: Made by rule: labels of every allowed kind joined under two ends, and one fault at a time put into a good name.
+LABELS = ["q", "k7", "zeta-9", "x" * 63]
+GOOD = [f"{a}.{b}.{end}" for a in LABELS for b in LABELS[:2] for end in ("museum", "xn--j6w193g")]
+FAULTS = [lambda n: "-" + n, lambda n: n.replace(".", "-.", 1), lambda n: n.replace(".", "..", 1), lambda n: n + ":81", lambda n: "me@" + n, lambda n: n.replace(".", " of ", 1), lambda n: n + ".4", lambda n: "y" + "x" * 63 + "." + n, lambda n: ".".join(["abcdefg"] * 32) + "." + n, lambda n: n.replace(".", "_.", 1)]
+
+
+def test_expand_name(spark):
+    cases = {n: [n] for n in GOOD} | {f" {n.upper()}.": [n] for n in GOOD[:6]} | {f"ftp://{n}/x?y": [n] for n in GOOD[:6]}
+    cases |= {"*." + n: [n, "www." + n] for n in GOOD} | {"*.www." + n: ["www." + n] for n in GOOD[:6]} | {"*.*." + n: [] for n in GOOD[:3]}
+    cases |= {fault(n): [] for n in GOOD[:5] for fault in FAULTS} | dict.fromkeys(["", " ", "*", ".", "museum", "Some Root Authority", "203.0.113.77", "2001:db8:7::5"], [])
+    got = spark.createDataFrame([(c,) for c in cases], "c string").select("c", P.expand_name("c").alias("n")).collect()
+    assert {r.c: [x.host for x in r.n] for r in got} == cases
 
 
 def test_registrable(spark):
@@ -38,18 +42,32 @@ def test_reverse_host(spark):
 
 
 def test_public_addresses(spark):
-    cases = {
-        "1.1.1.1": True, "2606:4700:4700::1111": True, "127.1.2.3": False, "::1": False, "::ffff:127.0.0.1": False, "10.0.0.1": False, "172.31.255.255": False, "fd00::1": False, "172.32.0.1": True,
-        "169.254.169.254": False, "ff02::1": False, "::": False, "255.255.255.255": False, "64:ff9b::7f00:1": False, "64:ff9b::101:101": True, "2002:c0a8:101::": False, "2002:101:101::": True, "::1.1.1.1": True,
-        "::10.0.0.1": False, "100.64.0.1": False, "100.128.0.1": True, "192.0.0.1": False, "192.0.1.1": True, "198.18.0.1": False, "198.20.0.1": True, "nonsense": False, "1.2.3": False, "": False,
-    }
+    # The edges of every range, from the ranges; the same addresses inside IPv6 forms.
+    import ipaddress as ip
+
+    from hostwatch.functions.addresses import NOT_PUBLIC_V4, NOT_PUBLIC_V6
+
+    def edges(texts, size):
+        nets = [ip.ip_network(n) for n in texts]
+        kind = type(nets[0][0])
+        points = {int(n[0]) + d for n in nets for d in (-1, 0)} | {int(n[-1]) + d for n in nets for d in (0, 1)}
+        return {str(a): not any(a in n for n in nets) for a in (kind(i) for i in points if 0 <= i < 1 << size)}
+
+    v4, v6 = edges(NOT_PUBLIC_V4, 32), edges(NOT_PUBLIC_V6, 128)
+    forms = {}
+    for a, public in v4.items():
+        n = int(ip.IPv4Address(a))
+        forms |= {f"::ffff:{a}": public, str(ip.IPv6Address((0x64FF9B << 96) + n)): public, str(ip.IPv6Address((0x2002 << 112) + (n << 80))): public}
+    alone = {k: v for k, v in v6.items() if int(ip.IPv6Address(k)) >> 32}  # others are IPv4 in the compatible form
+    cases = v4 | alone | forms | dict.fromkeys(["", "x", "7.7.7", "7.7.7.256", "7.7.7.7.7", "g::"], False)
     got = spark.createDataFrame([(k,) for k in cases], "ip string").select("ip", is_public_address("ip").alias("p")).collect()
     assert {r.ip: r.p for r in got} == cases
 
 
 def test_errors_round_trip(spark):
-    h = "www.example.com"
-    cases = [(h, f'Get "https://{h}/": dial tcp 178.142.12.95:443: refused', 1), (h, f"{h} dial tcp [2606:4700:4700::1111]:443: timeout", 1), (h, "dial tcp 10.0.0.1:443 -> 192.168.1.1:80", 2), ("93.184.216.34", "dial 93.184.216.34:443", 0), (h, "a\x01b\x02c\x03d 1.2.3.4", 1), (h, "[2001:DB8::1] [::ffff:1.2.3.4] 01.2.3.4", 0), (h, "", 0)]
+    h, public, private = "q.zeta.museum", ["46.1.2.3", "[2a02:7::9]", "199.7.8.9"], ["10.20.30.40"]
+    cases = [(h, f"open {h}: " + " via ".join(f"{a}:99" for a in (public + private)[:k]) + f" after {k} tries", k) for k in range(5)]
+    cases += [(public[0], f"open {public[0]}:99", 0), (h, "\x03kept\x02as\x01it stands 46.1.2.3", 1), (h, "[2A02:7::9] [::ffff:46.1.2.3] 046.1.2.3", 0), (h, "", 0)]
     rows = spark.createDataFrame(cases, "host string, msg string, n int").withColumn("e", error_shape("host", "msg"))
     for r in rows.withColumn("back", render_error("host", "e.shape", "e.args")).collect():
         assert r.back == r.msg
