@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _no_shuffle_left(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that made them ends: its output is in the shared
+    folder, and no later query reads them."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
@@ -39,15 +55,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _no_shuffle_left(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the folder that ``written`` made for ``df``, when nothing reads it any more."""
+    """Delete the folders that ``written`` made for ``df``, when nothing reads them any more."""
     spark = df.sparkSession
-    if files := df.inputFiles():
-        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -63,6 +80,12 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes with their bits spread."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(29))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of whole documents takes in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
@@ -85,5 +108,6 @@ def by_key(df: DataFrame, key: str, name: str, distinct: bool = False) -> DataFr
     spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "false")
     rows = df.repartition(n, key)
     rows = rows.dropDuplicates([key]) if distinct else rows
-    rows.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{made}").option("compression", "zstd").saveAsTable(made)
+    with _no_shuffle_left(spark):
+        rows.write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{made}").option("compression", "zstd").saveAsTable(made)
     return spark.table(made)

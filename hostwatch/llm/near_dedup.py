@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import by_key, discard, fresh, small_batches, table, written
+from hostwatch.llm.common import by_key, discard, fresh, mixed, small_batches, table, written
 from hostwatch.llm.components import PERCENT, connected_components, hubs_of, prefix_pairs, unsettled
 
 BANDS, ROWS, BITS, FLOOR = 48, 8, 4, 0.70
@@ -42,15 +42,10 @@ K = BANDS * ROWS
 _RNG = np.random.default_rng(20240229)
 _A = (_RNG.integers(0, 1 << 32, K, dtype=np.uint32) | 1).astype(np.uint32)
 _B = _RNG.integers(0, 1 << 32, K, dtype=np.uint32)
-_ONE, _TWO, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S = np.uint64(32)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _S)) * _MIX
-    return h ^ (h >> np.uint64(29))
-
-
 def _word_hashes(texts: list[bytes | None]) -> list[np.ndarray]:
     import xxhash
 
@@ -73,7 +68,7 @@ def shingle_sets(texts: list[bytes | None], words: int) -> list[np.ndarray]:
             continue
         s = np.full(len(h) - n + 1, np.uint64(n))
         for i in range(n):
-            s = _mixed(s * _ONE + h[i : len(h) - n + 1 + i] * _TWO)
+            s = mixed(s * _ONE + h[i : len(h) - n + 1 + i] * _TWO)
         out.append(np.unique(s))
     return out
 
@@ -100,7 +95,7 @@ def _bands(minima: np.ndarray) -> np.ndarray:
     m = minima.reshape(-1, BANDS, ROWS).astype(np.uint64)
     h = np.arange(1, BANDS + 1, dtype=np.uint64) * _TWO + np.zeros((len(m), 1), np.uint64)
     for r in range(ROWS):
-        h = _mixed(h * _ONE + m[:, :, r] * _TWO)
+        h = mixed(h * _ONE + m[:, :, r] * _TWO)
     return h.view(np.int64)
 
 
