@@ -81,14 +81,15 @@ def prefix_pairs(members: DataFrame) -> DataFrame:
     members: ``(id, c, g, s)``, a row an element.  Exact prefix filtering: with a group's
     elements in order of rising frequency, two sets whose similarity reaches PERCENT have an
     element in common among the first ``n - o + 1`` of each, n its size and o the least
-    overlap that their sizes allow.  Elements that one component alone has count as places
+    overlap that their sizes allow.  Counts and prefixes are written on the way, so that no
+    more than one step's shuffle files stand at a time; ``members`` isn't read afterwards.  Elements that one component alone has count as places
     but meet nothing.  A set's prefix is dealt by the size class of the partner, so that
     sets of like size meet by few elements, and elements that a whole group has are reached
     only by sets that have hardly any others.
     """
     members = members.select("id", "c", F.xxhash64("g", "s").alias("s"))
     seen = members.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("x"), F.max("c").alias("y"), F.bit_xor(F.xxhash64("id")).alias("who"))
-    seen = seen.select("s", "df", "who", (F.col("x") < F.col("y")).alias("cross"))
+    seen = written(seen.select("s", "df", "who", (F.col("x") < F.col("y")).alias("cross")), "element-counts")
     own = Window.partitionBy("id")
     order = own.orderBy("cross", "df", "who", "s")
     at = members.join(seen, "s").withColumns({"n": F.count("*").over(own), "pos": F.row_number().over(order), "before": F.lag(F.struct("df", "who")).over(order)})
@@ -102,6 +103,8 @@ def prefix_pairs(members: DataFrame) -> DataFrame:
     reach = F.sequence(size_class(F.greatest(F.floor(n * PERCENT / 100), F.lit(1))), size_class(F.ceil(n * 100 / PERCENT)))
     dealt = at.withColumn("k", F.explode(reach)).where(pos <= n - need(n, F.greatest(least_size(k), F.ceil(PERCENT * n / 100 - 1e-9))) + 1)
     dealt = dealt.select("s", F.least("own", "k").alias("k1"), F.greatest("own", "k").alias("k2"), "own", "k", "id", "c", "n", "pos")
+    dealt = written(dealt, "prefixes")
+    discard(seen)
     one, two = dealt.select("s", "k1", "k2", F.col("own").alias("o1"), F.col("id").alias("a"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("pos").alias("p1")), dealt.select("s", "k1", "k2", F.col("k").alias("o2"), F.col("id").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("pos").alias("p2"))
     o = need(F.col("n1"), F.col("n2"))
     meet = (F.col("c1") < F.col("c2")) & (F.col("o1") == F.col("o2")) & (F.col("p1") <= F.col("n1") - o + 1) & (F.col("p2") <= F.col("n2") - o + 1)

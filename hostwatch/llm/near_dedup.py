@@ -211,8 +211,9 @@ def _components(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     found = connected_components(links)
     # Then what is left in buckets of several components.
     pairs, rest = unsettled(shared, found, "near")
-    elements = rest.join(sets, "id").select("id", "c", "g", "s").mapInArrow(_elements, "id long, c long, g long, s long")
-    pairs = pairs.unionByName(prefix_pairs(written(elements, "near-elements")))
+    elements = written(rest.join(sets, "id").select("id", "c", "g", "s").mapInArrow(_elements, "id long, c long, g long, s long"), "near-elements")
+    pairs = pairs.unionByName(prefix_pairs(elements))
+    discard(elements)
     more = _confirmed(_likely(pairs, bits), sets)
     return connected_components(links.unionByName(more))
 
