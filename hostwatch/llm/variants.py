@@ -154,13 +154,16 @@ def _long_pairs(words: DataFrame) -> DataFrame:
     hashes = written(words.select("word").mapInPandas(_omissions, "id long, at long, k long"), "long-words")
     own, cut = hashes.where("at = -1").select("id", "k"), hashes.where("at >= 0")
     a, b = cut.alias("a"), cut.alias("b")
-    changed = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"))
-    shorter = cut.select(F.col("id").alias("x"), "k").join(own.select(F.col("id").alias("y"), "k"), "k").select("x", "y")
-    links = changed.unionByName(shorter).unionByName(shorter.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
-    # The words of the ids again, and the exact comparison.
+    changed = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.at") == F.col("b.at")) & (F.col("a.id") != F.col("b.id"))).select(F.col("a.id").alias("x"), F.col("b.id").alias("y"), F.col("a.at").alias("at"))
+    shorter = cut.join(own.select(F.col("id").alias("y"), "k"), "k").select(F.col("id").alias("x"), "y", "at")
+    # A pair has one such place, or a row of equal letters any of which may go.
+    links = changed.withColumn("both", F.lit(True)).unionByName(shorter.withColumn("both", F.lit(False))).groupBy("x", "y", "both").agg(F.min("at").cast("int").alias("at"))
+    # The words of the ids again, and the exact comparison: one pass over the two.
     texts = written(words.select("word").mapInPandas(_own_hash, "id long, word string"), "long-texts")
     x, y = texts.select(F.col("id").alias("x"), "word"), texts.select(F.col("id").alias("y"), F.col("word").alias("near"))
-    pairs = links.join(x, "x").join(y, "y").where(F.levenshtein("word", "near", 1) == 1)
+    without = lambda c: F.concat(F.substr(c, F.lit(1), F.col("at")), F.substr(c, F.col("at") + 2))
+    pairs = links.join(x, "x").join(y, "y").where((F.col("word") != F.col("near")) & (without(F.col("word")) == F.when(F.col("both"), without(F.col("near"))).otherwise(F.col("near"))))
+    pairs = pairs.select("word", "near").unionByName(pairs.where("NOT both").select(F.col("near").alias("word"), F.col("word").alias("near")))
     out = written(pairs.select("word", "near"), "long-pairs")
     discard(hashes)
     discard(texts)
