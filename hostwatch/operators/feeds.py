@@ -29,21 +29,24 @@ def progress_counters(certs: DataFrame, every: str = "1 minute") -> DataFrame:
     return certs.groupBy(F.window("seen_at", every)["start"].alias("since"), "feed").agg(F.count("*").alias("delivered"))
 
 
-def quiet_feeds(certs: DataFrame, every_seconds: int = 3600, n: int = 3) -> DataFrame:
-    """Feeds with ``n`` empty checks in a row, once per spell.
+def quiet_feeds(certs: DataFrame, every_seconds: int = 3600, n: int = 3, feeds: DataFrame | None = None) -> DataFrame:
+    """Feeds with ``n`` empty checks in a row, once per spell; ``feeds``: those that should
+    carry, so that one that never did is known.
 
-    The grid spans the whole input; counts are per (feed, check) before anything else, so
-    only feeds times checks are windowed.
+    From each check with a delivery to the next one (or the last check of all) the silence
+    between is arithmetic: rows grow with deliveries and feeds, not with feeds times checks.
     """
     slot = F.floor(F.unix_seconds(F.col("seen_at").cast("timestamp")) / every_seconds)
-    counts = certs.groupBy("feed", slot.alias("b")).agg(F.count("*").alias("n"))
+    counts = certs.groupBy("feed", slot.alias("b")).agg(F.lit(1).alias("one"))
     span = counts.agg(F.min("b").alias("lo"), F.max("b").alias("hi")).withColumn("one", F.lit(1))
-    grid = counts.select("feed").distinct().withColumn("one", F.lit(1)).join(F.broadcast(span), "one").select("feed", F.explode(F.sequence("lo", "hi")).alias("b"))
-    w = Window.partitionBy("feed").orderBy("b")
-    both = grid.join(counts, ["feed", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    both = both.withColumns({"spell": F.sum((F.col("n") > 0).cast("long")).over(w), "total": F.sum("n").over(w)})
-    both = both.withColumn("q", F.sum((F.col("n") == 0).cast("long")).over(Window.partitionBy("feed", "spell").orderBy("b")))
-    return both.where((F.col("n") == 0) & (F.col("q") == n)).select("feed", F.timestamp_seconds(F.col("b") * every_seconds).cast("timestamp_ntz").alias("checked_at"), F.when(F.col("total") == 0, "never_carried").otherwise("gone_quiet").alias("kind"), F.lit((n - 1) * every_seconds).cast("long").alias("quiet_seconds"))
+    every = counts.select("feed") if feeds is None else counts.select("feed").unionByName(feeds.select("feed"))
+    # Each feed's time begins before the first check, with nothing carried yet.
+    begins = every.distinct().select("feed", F.lit(None).cast("long").alias("b"), F.lit(1).alias("one"))
+    after = F.lead("b").over(Window.partitionBy("feed").orderBy(F.asc_nulls_first("b")))
+    gaps = counts.unionByName(begins).withColumn("after", after).join(F.broadcast(span), "one")
+    told = F.coalesce("b", F.col("lo") - 1) + n
+    quiet = gaps.where(told < F.coalesce("after", F.col("hi") + 1))
+    return quiet.select("feed", F.timestamp_seconds(told * every_seconds).cast("timestamp_ntz").alias("checked_at"), F.when(F.col("b").isNull(), "never_carried").otherwise("gone_quiet").alias("kind"), F.lit((n - 1) * every_seconds).cast("long").alias("quiet_seconds"))
 
 
 def feed_sessions(frames: DataFrame, gap: str = "60 seconds") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hostwatch.functions.names import expand_name
-from hostwatch.operators.records import expand_cert
+from hostwatch.operators.records import NAMES, cert_names, expand_cert
 
 #: A rule table beyond this many rows is joined by shuffle.
 BROADCAST_RULES = 200_000
@@ -89,10 +89,11 @@ def filter_depth(names: DataFrame, max_depth: int = 1) -> DataFrame:
 
 def filter_blocklist(names: DataFrame, suffixes: DataFrame) -> DataFrame:
     """Names not equal to or under any suffix, on label boundaries."""
-    return names.join(_blocked(names, suffixes), "host", "left_anti")
+    return names.join(blocked_hosts(names, suffixes), "host", "left_anti")
 
 
-def _blocked(names: DataFrame, suffixes: DataFrame) -> DataFrame:
+def blocked_hosts(names: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """The hosts equal to or under a suffix, once each."""
     ls = F.split("host", "[.]", -1)
     up = F.explode(F.transform(F.sequence(F.lit(1), F.size(ls)), lambda i: F.array_join(F.slice(ls, i, F.size(ls)), "."))).alias("suffix")
     return names.select("host").distinct().select("host", up).join(bounded(suffixes), "suffix").select("host").distinct()
@@ -106,6 +107,16 @@ def filter_recent(names: DataFrame, window: str = "10 minutes") -> DataFrame:
     return first.select("x.*")
 
 
+def flagged_names(certs: DataFrame) -> DataFrame:
+    """``expand_cert`` that keeps certificates without names: a row without host.  ``head``
+    marks one row a certificate, so that counts of certificates and of names come from one
+    pass; ``skipped``: a common name that gives no host; ``sans_cut``: see apply_san_policy."""
+    cut = F.col("sans_cut") if "sans_cut" in certs.columns else F.lit(0)
+    rows = certs.select(*(c for c in ("cert_id", "seen_at", "source", "issuer", "idx")), cut.cast("long").alias("sans_cut"), ((F.col("cn") != "") & (F.size(expand_name("cn")) == 0)).alias("skipped"), cert_names("cn", "sans").alias("ns"))
+    out = rows.select("*", F.posexplode_outer("ns").alias("at", "n"))
+    return out.select(*(F.col(f"n.{c}") if c in ("host", "from_wildcard", "raw", "origin") else F.col(c) for c in NAMES), (F.coalesce("at", F.lit(0)) == 0).alias("head"), "skipped", "sans_cut")
+
+
 ORDER_COLUMNS = ["seen_at", "source", "idx", "cert_id"]
 
 
@@ -169,7 +180,7 @@ def verdicts(certs: DataFrame, rules: DataFrame, suffixes: DataFrame, records: D
     order of the stages; a stage sees only what the earlier ones let pass."""
     names = with_registrable(expand_cert(certs), rules).withColumnRenamed("registrable", "parent")
     deep = F.col("depth").isNull() | ((F.col("depth") > max_depth) if max_depth > 0 else F.lit(False))
-    bad = _blocked(names, suffixes).withColumn("bad", F.lit(True))
+    bad = blocked_hosts(names, suffixes).withColumn("bad", F.lit(True))
     stored = records.select("host").distinct().withColumn("stored", F.lit(True))
     rows = names.join(bad, "host", "left").join(stored, "host", "left")
     # One lineage from here: each stage ranks the rows that are still in, beside the others.

@@ -21,15 +21,19 @@ def has_names(certs: DataFrame) -> DataFrame:
     return certs.where((F.coalesce("cn", F.lit("")) != "") | (F.coalesce(F.size("sans"), F.lit(0)) > 0))
 
 
-def expand_cert(certs: DataFrame) -> DataFrame:
-    """Each certificate's hostnames, once each, without a shuffle: the CN's before the
-    SANs', and of equal hosts the first."""
+def cert_names(cn: str, sans: str):
+    """The array of a certificate's hostnames, once each: the CN's before the SANs', and of
+    equal hosts the first."""
     of = lambda c, origin: F.struct(c.alias("raw"), F.lit(origin).alias("origin"))
-    parts = F.concat(F.array(of(F.col("cn"), "cn")), F.transform(F.coalesce("sans", F.array().cast("array<string>")), lambda s: of(s, "san")))
+    parts = F.concat(F.array(of(F.col(cn), "cn")), F.transform(F.coalesce(sans, F.array().cast("array<string>")), lambda s: of(s, "san")))
     made = F.flatten(F.transform(parts, lambda p: F.transform(expand_name(p["raw"]), lambda e: F.struct(e["host"].alias("host"), e["from_wildcard"].alias("from_wildcard"), p["raw"].alias("raw"), p["origin"].alias("origin")))))
-    rows = certs.select("cert_id", "seen_at", "source", "issuer", "idx", made.alias("ns")).withColumn("hs", F.col("ns.host"))
-    first = F.filter("ns", lambda n, i: F.array_position("hs", n["host"]) == i + 1)
-    return rows.select("cert_id", "seen_at", "source", "issuer", "idx", F.explode(first).alias("n")).select("cert_id", "n.*", "seen_at", "source", "issuer", "idx").select(*NAMES)
+    # One evaluation of the long expression: it is bound as the only element of an array.
+    return F.flatten(F.transform(F.array(made), lambda ns: F.filter(ns, lambda n, i: F.array_position(ns["host"], n["host"]) == i + 1)))
+
+
+def expand_cert(certs: DataFrame) -> DataFrame:
+    """Each certificate's hostnames as rows, without a shuffle."""
+    return certs.select("cert_id", "seen_at", "source", "issuer", "idx", F.explode(cert_names("cn", "sans")).alias("n")).select("cert_id", "n.*", "seen_at", "source", "issuer", "idx").select(*NAMES)
 
 
 def dedupe_cert_names(names: DataFrame, pos: str = "pos") -> DataFrame:
@@ -56,8 +60,11 @@ def as_records(folded: DataFrame) -> DataFrame:
     return folded.withColumn("rev_host", reverse_host("host")).select("*", *(F.expr(e).alias(c) for c, e in PROBE.items()))
 
 
-def merge_records(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored records and a batch's fold to new records and ``is_new``: one shuffle on host."""
+def merge_records(existing: DataFrame, batch: DataFrame, by_time: bool = False) -> DataFrame:
+    """Stored records and a batch's fold to new records and ``is_new``: one shuffle on host.
+
+    What is stored precedes the batch.  by_time: unless its times say otherwise, so that late
+    sightings lower first_seen, and neither last_seen nor source go back."""
     e, b = existing.select(*(F.col(c).alias(f"e_{c}") for c in existing.columns)), batch
     both = e.join(b, e["e_host"] == b["host"], "full_outer")
     upgrade = F.col("host").isNotNull() & (F.col("e_host").isNull() | ((F.col("e_origin") != "cn") & (F.col("origin") == "cn")))
@@ -68,6 +75,9 @@ def merge_records(existing: DataFrame, batch: DataFrame) -> DataFrame:
         "cert_name": F.when(upgrade, F.col("cert_name")).otherwise(F.col("e_cert_name")), "origin": F.when(upgrade, F.col("origin")).otherwise(F.col("e_origin")),
         "source": F.coalesce("source", "e_source"), "issuer": issuer,
     }
+    if by_time:
+        newer = F.coalesce(F.col("last_seen") >= F.col("e_last_seen"), F.col("e_host").isNull())
+        out |= {"first_seen": F.least("e_first_seen", "first_seen"), "last_seen": F.greatest("e_last_seen", "last_seen"), "source": F.when(newer, F.col("source")).otherwise(F.col("e_source"))}
     rest = [(F.coalesce(F.col(f"e_{c}"), b[c]) if c in batch.columns else F.col(f"e_{c}")).alias(c) for c in existing.columns if c not in out and c != "is_new"]
     return both.select(*(v.alias(k) for k, v in out.items()), *rest, F.col("e_host").isNull().alias("is_new"))
 
