@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 V4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 V4_TEXT = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
+CANONICAL_V4 = r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"
 HOST_MARK, ARG_MARK, ESC_MARK = "\x01", "\x02", "\x03"
 
 # The address ranges that are not the public internet.
@@ -61,6 +62,12 @@ def is_public_v6(ip: pd.Series) -> pd.Series:
     return ip.map(lambda x: bool(x) and public_v6(x)).astype(bool)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def public_v6_of(ips: pd.Series) -> pd.Series:
+    """The public ones of arrays of IPv6 texts."""
+    return ips.map(lambda xs: None if xs is None else [x for x in xs if x and public_v6(x)])
+
+
 def is_public_address(ip) -> Column:
     """IPv4 texts in SQL; texts with a colon by the Arrow function."""
     ip = F.col(ip) if isinstance(ip, str) else ip
@@ -75,8 +82,7 @@ def error_shape_v4(host, msg) -> Column:
     """``struct<shape, args>``: host and canonical IPv4 addresses lifted out of an error."""
     host, msg = (F.col(c) if isinstance(c, str) else c for c in (host, msg))
     masked = F.when(host == "", _escaped(msg)).otherwise(F.replace(_escaped(msg), host, F.lit(HOST_MARK)))
-    canonical = r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"
-    return F.struct(F.regexp_replace(masked, canonical, ARG_MARK).alias("shape"), F.regexp_extract_all(masked, F.lit(f"({canonical})"), 1).alias("args"))
+    return F.struct(F.regexp_replace(masked, CANONICAL_V4, ARG_MARK).alias("shape"), F.regexp_extract_all(masked, F.lit(f"({CANONICAL_V4})"), 1).alias("args"))
 
 
 _CANDIDATE = re.compile(r"\[[0-9A-Fa-f:.]+\]|" + V4_TEXT, re.ASCII)

@@ -100,12 +100,24 @@ def parse_retention(text: str) -> timedelta:
 
 def register(spark: SparkSession) -> None:
     """The scalar names for SQL, as SQL functions that the optimizer inlines."""
+    from hostwatch.functions.addresses import ARG_MARK, CANONICAL_V4, ESC_MARK, HOST_MARK
+
     trimmed = r"regexp_replace(regexp_replace(lower(regexp_replace({0}, r'(?s)^\s+|\s+\z', '')), r'\.\z', ''), r'(?s)^.*?://', '')"
+    normal = rf"regexp_replace(regexp_replace({trimmed.format('c')}, r'(?s)[/?#].*\z', ''), r'\.\z', '')"
+    names = "ARRAY<STRUCT<host: STRING, from_wildcard: BOOLEAN>>"
     bodies = {
         "normalize_host(c STRING) RETURNS STRING": rf"regexp_replace(regexp_replace({trimmed.format('c')}, r'(?s)[/?#].*\z', ''), r'\.\z', '')",
         "is_valid_host(c STRING) RETURNS BOOLEAN": f"c RLIKE r'{VALID_HOST}'",
         "reverse_host(c STRING) RETURNS STRING": "array_join(reverse(split(c, '[.]', -1)), '.')",
         "tld(c STRING) RETURNS STRING": "substring_index(c, '.', -1)",
+        "cert_shape(host STRING, cert_name STRING) RETURNS STRING": r"CASE WHEN cert_name = '' THEN 'empty' WHEN cert_name = host THEN 'host' WHEN cert_name = concat('*.', host) THEN 'wild_host' WHEN cert_name = concat('*.', regexp_replace(host, r'^www\.', '')) THEN 'wild_apex' ELSE 'literal' END",
+        # A name as a struct of its host and whether it is a wildcard; the apex and www of one.
+        f"expand_name(c STRING) RETURNS {names}": f"""(SELECT CASE WHEN NOT coalesce(h RLIKE r'{VALID_HOST}', false) THEN cast(array() AS {names})
+             WHEN NOT n LIKE '*.%' THEN array(named_struct('host', h, 'from_wildcard', false)) WHEN h LIKE 'www.%' THEN array(named_struct('host', h, 'from_wildcard', true))
+             ELSE array(named_struct('host', h, 'from_wildcard', true), named_struct('host', concat('www.', h), 'from_wildcard', true)) END
+             FROM (SELECT n, CASE WHEN n LIKE '*.%' THEN substring(n, 3) ELSE n END AS h FROM (SELECT {normal} AS n)))""",
+        f"error_shape(host STRING, msg STRING) RETURNS STRUCT<shape: STRING, args: ARRAY<STRING>>": rf"""(SELECT named_struct('shape', regexp_replace(m, r'{CANONICAL_V4}', '{ARG_MARK}'), 'args', regexp_extract_all(m, r'({CANONICAL_V4})', 1))
+             FROM (SELECT CASE WHEN host = '' THEN e ELSE replace(e, host, '{HOST_MARK}') END AS m FROM (SELECT regexp_replace(msg, '([{HOST_MARK}{ARG_MARK}{ESC_MARK}])', '{ESC_MARK}$1') AS e)))""",
     }
     for head, body in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostwatch.operators.ranks import before, placed
+
 FEEDS = ("certstream", "ctlog", "tiled")
 
 
@@ -57,16 +59,32 @@ def feed_sessions(frames: DataFrame, gap: str = "60 seconds") -> DataFrame:
 
 def answer_rate(lookups: DataFrame, recent: int = 1024, least: int = 64, gap_seconds: int = 30) -> DataFrame:
     """Per lookup the resolver's share of answers over its recent ones since the last gap, and
-    whether a failure is deferred (transient, at an unhealthy resolver) or recorded."""
-    order = Window.partitionBy("resolver").orderBy("ts", "event_id")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = lookups.withColumn("new", (F.coalesce(seconds - F.lag(seconds).over(order), F.lit(0.0)) > gap_seconds).cast("int"))
-    rows = rows.withColumn("spell", F.sum("new").over(order))
-    w = Window.partitionBy("resolver", "spell").orderBy("ts", "event_id").rowsBetween(1 - recent, 0)
-    rows = rows.withColumns({"samples": F.count("*").over(w), "rate": F.avg(F.col("outcome").isin("ok", "not_found").cast("int")).over(w)})
-    healthy = (F.col("samples") < least) | (F.col("rate") >= 0.5)
-    verdict = F.when(F.col("outcome").isin("ok", "not_found"), "answered").when(~healthy, "deferred").otherwise("recorded")
-    return rows.select("event_id", "resolver", "samples", F.round("rate", 6).alias("rate"), verdict.alias("verdict"))
+    whether a failure is deferred (transient, at an unhealthy resolver) or recorded.
+
+    All lookups stand in one order, cut into range partitions.  A partition numbers its rows
+    and sums its answers; what the ones before it hold (rows, answers, the last row, the last
+    gap) is a row a partition.  The share is then a difference of two running sums, the second
+    found by its number.  So a resolver of any size spreads over all tasks.
+    """
+    rows = lookups.select("event_id", "resolver", "outcome", F.col("ts").cast("timestamp").alias("t"), F.col("outcome").isin("ok", "not_found").cast("long").alias("ok"))
+    rows = placed(rows, "resolver", "t", "event_id")
+    w = Window.partitionBy("part").orderBy("at")
+    ends = rows.groupBy("part").agg(F.count("*").alias("c"), F.sum("ok").alias("a"), F.max_by(F.struct("resolver", "t"), "at").alias("end"))
+    ends = before(ends, "c", "a").withColumn("end", F.lag("end").over(Window.orderBy("part")))
+    last = F.coalesce(F.lag(F.struct("resolver", "t")).over(w), "end")
+    gap = F.unix_micros("t") - F.unix_micros(last["t"]) > gap_seconds * 1_000_000
+    rows = rows.join(F.broadcast(ends.select("part", "c_before", "a_before", "end")), "part")
+    rows = rows.select("*", (F.col("c_before") + F.col("at")).alias("g"), (F.col("a_before") + F.sum("ok").over(w)).alias("sum"), F.coalesce(~last["resolver"].eqNullSafe(F.col("resolver")) | gap, F.lit(True)).alias("new"))
+    begins = rows.where("new").groupBy("part").agg(F.max("g").alias("g"))
+    carried = ends.select("part").join(begins, "part", "left").select("part", F.max("g").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.join(F.broadcast(carried), "part").withColumn("begin", F.coalesce(F.max(F.when(F.col("new"), F.col("g"))).over(w), "carried"))
+    rows = rows.withColumn("samples", F.least(F.lit(recent), F.col("g") - F.col("begin") + 1))
+    earlier = rows.select((F.col("g") + 1).alias("from"), F.col("sum").alias("sum_before"))
+    rows = rows.join(earlier, F.col("g") - F.col("samples") + 1 == F.col("from"), "left")
+    rate = (F.col("sum") - F.coalesce("sum_before", F.lit(0))) / F.col("samples")
+    healthy = (F.col("samples") < least) | (rate >= 0.5)
+    verdict = F.when(F.col("ok") == 1, "answered").when(~healthy, "deferred").otherwise("recorded")
+    return rows.select("event_id", "resolver", "samples", F.round(rate, 6).alias("rate"), verdict.alias("verdict"))
 
 
 def admit_per_address(requests: DataFrame, rate: float = 32.0, burst: float = 64.0) -> DataFrame:

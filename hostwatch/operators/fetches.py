@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostwatch.functions.addresses import error_shape, is_public_address
+from hostwatch.functions.addresses import error_shape, is_public_v4, public_v6_of
 from hostwatch.functions.names import body_hash, body_size
 
 RETRY = "30 seconds"
@@ -51,15 +51,19 @@ def fold_fetches(records: DataFrame, fetches: DataFrame) -> DataFrame:
     return both.select(*(out[c].alias(c) if c in out else F.col(c) for c in records.columns))
 
 
-def fetch_funnel(fetches: DataFrame, records: DataFrame) -> DataFrame:
-    """One row of counters over results of known hosts."""
+def fetch_funnel(fetches: DataFrame, records: DataFrame, swept: DataFrame | None = None) -> DataFrame:
+    """One row of counters over results of known hosts; ``backfilled``: hosts that sweeps of the
+    queue (``swept``, see sweep_queue) gave to the fetchers."""
     known = fetches.join(records.select("host"), "host")
     counts = known.agg(
         F.count_if(F.col("deferred_reason") == "").alias("probed"), F.count_if((F.col("deferred_reason") == "") & (F.col("error") != "")).alias("probe_failed"),
         F.count_if(F.col("deferred_reason") == "address_budget").alias("throttled"), F.count_if(F.col("deferred_reason") == "no_dns_answer").alias("unresolved"), F.count_if(F.col("deferred_reason") != "").alias("deferred"),
     ).withColumn("__one", F.lit(1))
     changed = detect_changes(fetches, records).join(records.select("host"), "host", "left_semi").agg(F.count("*").alias("changed")).withColumn("__one", F.lit(1))
-    return counts.join(changed, "__one").drop("__one")
+    rows = counts.join(changed, "__one")
+    if swept is None:
+        return rows.withColumn("backfilled", F.lit(0).cast("long")).drop("__one")
+    return rows.join(swept.agg(F.count_if(F.col("action") == "to_fetch").alias("backfilled")).withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 def shared_bodies(records: DataFrame, min_hosts: int = 2) -> DataFrame:
@@ -88,18 +92,12 @@ def error_shape_summary(records: DataFrame) -> DataFrame:
 
 
 def fetchable_addresses(lookups: DataFrame) -> DataFrame:
-    """``addrs`` cut to public ones in order; refused without one; the first is the budget key."""
-    one = lookups.withColumn("__id", F.monotonically_increasing_id()) if "lookup_id" not in lookups.columns else lookups.withColumn("__id", F.col("lookup_id"))
-    if not _has_v6(lookups):
-        from hostwatch.functions.addresses import is_public_v4
-
-        kept = one.withColumn("addrs", F.filter("addrs", lambda x: is_public_v4(x)))
-    else:
-        rows = one.select("__id", F.posexplode("addrs").alias("p", "a")).where(is_public_address("a"))
-        back = rows.groupBy("__id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "a"))), lambda x: x["a"]).alias("addrs"))
-        kept = one.drop("addrs").join(back, "__id", "left").withColumn("addrs", F.coalesce("addrs", F.array().cast("array<string>")))
-    return kept.drop("__id").withColumns({"refused": F.size("addrs") == 0, "budget_key": F.get("addrs", F.lit(0))})
-
-
-def _has_v6(lookups: DataFrame) -> bool:
-    return not lookups.where(F.exists("addrs", lambda a: a.contains(":"))).isEmpty()
+    """``addrs`` cut to public ones in order; refused without one; the first is the budget key.
+
+    In the row: IPv4 by its own arithmetic, and of the IPv6 texts, told apart by one Arrow call
+    a row that has any, the public ones by membership.  No plan-time job and no join.
+    """
+    public = F.when(F.exists("addrs", lambda a: a.contains(":")), public_v6_of(F.filter("addrs", lambda a: a.contains(":")))).otherwise(F.array().cast("array<string>"))
+    kept = lookups.withColumn("__v6", public)
+    kept = kept.withColumn("addrs", F.filter("addrs", lambda a: F.when(a.contains(":"), F.array_contains("__v6", a)).otherwise(is_public_v4(a))))
+    return kept.drop("__v6").withColumns({"refused": F.coalesce(F.size("addrs") <= 0, F.lit(True)), "budget_key": F.get("addrs", F.lit(0))})

@@ -57,8 +57,12 @@ def seed_queue(records: DataFrame, queue: DataFrame | None = None, reprobe_secon
     return rows if queue is None else rows.join(queue.select("host"), "host", "left_anti")
 
 
-def requeue(fetches: DataFrame, reprobe_seconds: int = 0) -> DataFrame:
-    """What results put back: deferred ones soon, finished ones at the refetch."""
+def requeue(fetches: DataFrame, reprobe_seconds: int = 0, due: Column | None = None) -> DataFrame:
+    """What results put back: deferred ones soon, finished ones at the refetch; ``due``: a
+    policy of one's own for the finished ones, null for never."""
+    if due is not None:
+        soon = F.col("fetched_at") + F.make_dt_interval(secs=F.lit(RETRY_SECONDS))
+        return fetches.select(F.when(F.col("deferred_reason") != "", soon).otherwise(due).alias("due"), "host").where("due IS NOT NULL").dropDuplicates()
     seconds = F.when(F.col("deferred_reason") != "", F.lit(RETRY_SECONDS)).otherwise(F.lit(reprobe_seconds if reprobe_seconds > 0 else None).cast("int"))
     return fetches.select((F.col("fetched_at") + F.make_dt_interval(secs=seconds)).alias("due"), "host").where("due IS NOT NULL").dropDuplicates()
 

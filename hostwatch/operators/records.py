@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostwatch.functions.names import expand_name, reverse_host
+from hostwatch.operators.ranks import numbered
 
 NAMES = ["cert_id", "host", "from_wildcard", "raw", "origin", "seen_at", "source", "issuer", "idx"]
 ORDER = ("seen_at", "source", "idx")
@@ -111,17 +112,15 @@ def scan_records(records: DataFrame) -> DataFrame:
 def build_dimension(records: DataFrame, column: str, existing: DataFrame | None = None) -> DataFrame:
     """``(id, value)``: '' is 0; existing ids stay, new values follow in their own order.
 
-    Ranks come from a distributed sort: a rank inside a range plus the counts before it.
+    Ranks come from a distributed sort: the place in a range partition plus the sizes of those
+    before it, so that values that all begin alike spread over the tasks too.
     """
     values = records.select(F.col(column).alias("value")).where(F.col(column) != "").distinct()
     start = 0
     if existing is not None:
         values = values.join(existing.select("value"), "value", "left_anti")
         start = existing.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    bucket = F.rpad(F.substring("value", 1, 3), 3, " ")  # few values share their first three characters and all the rest of a range
-    keyed = values.withColumn("b", bucket)
-    counts = keyed.groupBy("b").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = keyed.join(counts, "b").select((F.lit(start) + F.col("before") + F.row_number().over(Window.partitionBy("b").orderBy("value"))).cast("long").alias("id"), "value")
+    ranked = numbered(values, "id", "value").select((F.col("id") + start + 1).cast("long").alias("id"), "value")
     zero = records.sparkSession.createDataFrame([(0, "")], "id long, value string")
     return (zero if existing is None else existing.select("id", "value")).unionByName(ranked)
 

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostwatch.functions.addresses import error_shape_v4
 from hostwatch.functions.names import tld
+from hostwatch.operators.queue import KEY
+from hostwatch.operators.ranks import fixed
+from hostwatch.operators.records import sweep_dimension
 
 
 def under(df: DataFrame, parent: str | None) -> DataFrame:
@@ -63,11 +67,13 @@ def record_stats(records: DataFrame, queue: DataFrame, now: Column) -> DataFrame
     """One row of counts over the table, and the queue's."""
     some = lambda c: F.nullif(F.col(c), F.lit(""))
     shape = F.when(F.col("probe_error") != "", error_shape_v4("host", "probe_error")["shape"])
-    one = records.agg(
+    # One row a source, issuer and shape first: the distinct counts then expand those only.
+    few = records.groupBy(some("source").alias("source"), some("issuer").alias("issuer"), shape.alias("shape")).agg(
         F.count("*").alias("domains"), F.count_if("probed").alias("probed"), F.count_if(F.col("body_hash") != "").alias("with_hash"), F.count_if("from_wildcard").alias("wildcards"),
-        F.count_if(F.col("probe_error") != "").alias("errors"), F.count_if(F.col("prev_hash") != "").alias("changed"), F.count_distinct(some("source")).alias("sources"),
-        F.count_distinct(some("issuer")).alias("issuers"), F.count_distinct(shape).alias("error_shapes"),
+        F.count_if(F.col("probe_error") != "").alias("errors"), F.count_if(F.col("prev_hash") != "").alias("changed"),
     )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    one = few.agg(*map(total, ("domains", "probed", "with_hash", "wildcards", "errors", "changed")), F.count_distinct("source").alias("sources"), F.count_distinct("issuer").alias("issuers"), F.count_distinct("shape").alias("error_shapes"))
     line = queue.agg(F.count("*").alias("queued"), F.min("due").alias("oldest_due"), F.count_if(F.col("due") <= now).alias("waiting"))
     return one.withColumn("__one", F.lit(1)).join(line.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
@@ -107,3 +113,34 @@ def prune_report(records: DataFrame, parent: str | None = None, unseen_before: C
 def prune_records(records: DataFrame, parent: str | None = None, unseen_before: Column | None = None, failed_before: Column | None = None, match: Column | None = None) -> DataFrame:
     """The survivors, by the predicate that the report counted."""
     return records.where(~(_in_scope(parent) & _doomed(unseen_before, failed_before, match)))
+
+
+class Pruned(NamedTuple):
+    """What a prune leaves; ``summary``: ``(part, before, kept, bytes)``, a row a table."""
+
+    records: DataFrame
+    queue: DataFrame
+    dimensions: dict[str, DataFrame]
+    summary: DataFrame
+
+
+def prune_apply(records: DataFrame, queue: DataFrame, dimensions: dict[str, DataFrame], parent: str | None = None, unseen_before: Column | None = None, failed_before: Column | None = None, match: Column | None = None, values: dict[str, Column] | None = None) -> Pruned:
+    """Prune records, then the queue and the dimensions of what no record refers to any more.
+
+    The records are marked in one pass and stay, without the doomed ones, in one checkpoint, by
+    which queue and dimensions are then swept; they are swept also where no record is doomed, so
+    that a prune that was broken off leaves nothing for ever.  values: the Column that a
+    dimension stands for, where it isn't the column of its name.
+    """
+    gone = _in_scope(parent) & _doomed(unseen_before, failed_before, match)
+    marked = fixed(records.withColumn("__gone", gone))
+    kept = marked.where("NOT __gone").drop("__gone")
+    left = queue.join(kept.select("host"), "host", "left_semi").select(*KEY)
+    swept = {name: sweep_dimension(d, kept.select((values or {}).get(name, F.col(name)).alias(name)), name) for name, d in dimensions.items()}
+    n, none = F.count("*"), F.lit(None).cast("long").alias("bytes")
+    size = F.coalesce(F.sum(F.octet_length("value")), F.lit(0))
+    sums = [marked.agg(n.alias("before"), F.count_if(~F.col("__gone")).alias("kept")).select(F.lit("records").alias("part"), "before", "kept", none)]
+    for part, old, new, b in [("queue", queue, left, None), *((name, dimensions[name], swept[name], size) for name in dimensions)]:
+        both = [old.agg(n.alias("before"), *([b.alias("b")] if b is not None else [])).withColumn("one", F.lit(1)), new.agg(n.alias("kept"), *([b.alias("k")] if b is not None else [])).withColumn("one", F.lit(1))]
+        sums.append(both[0].join(both[1], "one").select(F.lit(part).alias("part"), "before", "kept", none if b is None else (F.col("b") - F.col("k")).cast("long").alias("bytes")))
+    return Pruned(kept, left, swept, reduce(DataFrame.unionByName, sums))

@@ -106,9 +106,10 @@ S_NAMES = f"""{S_CERTS}, raws AS (SELECT cert_id, seen_at, source, issuer, idx,
  normed AS (SELECT *, CASE WHEN n LIKE '*.%' THEN n[3:] ELSE n END b, n LIKE '*.%' w FROM (SELECT *, {_NORM.format("raw")} n FROM raws)),
  spread AS (SELECT *, b host, 0 k FROM normed WHERE {_VALID.format("b")} UNION ALL SELECT *, 'www.' || b, 1 FROM normed WHERE w AND b NOT LIKE 'www.%' AND {_VALID.format("b")}),
  names AS (SELECT cert_id, host, w from_wildcard, raw, origin, seen_at, source, issuer, idx, pos FROM (SELECT *, row_number() OVER (PARTITION BY cert_id, host ORDER BY origin, pos, k) r FROM spread) WHERE r = 1)"""
-S_FOLD = f"""{S_NAMES}, folded AS (SELECT host, min(seen_at) first_seen, max(seen_at) last_seen, count(*) seen_count, min_by(from_wildcard, ord) from_wildcard,
+S_FOLD_OF = """folded AS (SELECT host, min(seen_at) first_seen, max(seen_at) last_seen, count(*) seen_count, min_by(from_wildcard, ord) from_wildcard,
  coalesce(min_by(raw, ord) FILTER (WHERE origin = 'cn'), min_by(raw, ord)) cert_name, CASE WHEN count(*) FILTER (WHERE origin = 'cn') > 0 THEN 'cn' ELSE 'san' END origin, max_by(source, ord) source,
- coalesce(max_by(issuer, ord) FILTER (WHERE issuer <> ''), '') issuer FROM (SELECT *, struct_pack(a := seen_at, b := source, c := idx) ord FROM names) GROUP BY host)"""
+ coalesce(max_by(issuer, ord) FILTER (WHERE issuer <> ''), '') issuer FROM (SELECT *, struct_pack(a := seen_at, b := source, c := idx) ord FROM {0}) GROUP BY host)"""
+S_FOLD = f"{S_NAMES}, {S_FOLD_OF.format('names')}"
 S_FETCHES = f"""fetches AS (SELECT page_id fetch_id, h host, TIMESTAMP '2024-01-02 00:00:00' + to_minutes(page_id) fetched_at, CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 9 = 0 THEN 404 ELSE 200 END status,
  CASE WHEN page_id % 11 = 0 THEN '' WHEN page_id % 4 = 0 THEN 'https://' || h || '/landing' ELSE 'https://' || h || '/' END final_url, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 2 = 0 THEN 'tpl' || (page_id % 6) ELSE html END body,
  CASE WHEN page_id % 11 = 0 THEN 'Get "https://' || h || '/": dial tcp 46.28.109.' || (page_id % 200) || ':443: connect: connection refused' ELSE '' END error,

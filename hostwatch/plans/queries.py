@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from hostwatch.functions import names as P
 from hostwatch.functions.addresses import error_shape_v4, is_public_v4
-from hostwatch.operators import feeds, fetches, filters, logs, queue, records, reports
+from hostwatch.operators import feeds, fetches, filters, logs, queue, ranks, records, reports
 from hostwatch.plans import fixtures as X
 from hostwatch.sources import tables
 from hostwatch.sources.feeds import read_feed_json
+from hostwatch.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -88,13 +90,18 @@ add("lookup_records", lambda s, d: records.lookup_records(X.fetches(s, d), X.fir
 add("detect_changes", lambda s, d: fetches.detect_changes(X.fetches(s, d)), f"WITH {X.S_CHANGES} SELECT * FROM changes")
 REC = f"{R}, rev_host, probed, probed_at, http_status, final_url, body_size, body_hash, prev_hash, changed_at, probe_count, probe_error"
 add("fold_fetches", lambda s, d: X.records(s, d), f"WITH {X.S_RECORDS} SELECT {REC} FROM records")
-add("fetch_funnel", lambda s, d: fetches.fetch_funnel(X.fetches(s, d), X.first_records(s, d)), f"WITH {X.S_RECORDS} SELECT count(*) FILTER (WHERE deferred_reason = '') probed, count(*) FILTER (WHERE deferred_reason = '' AND error <> '') probe_failed, count(*) FILTER (WHERE deferred_reason = 'address_budget') throttled, count(*) FILTER (WHERE deferred_reason = 'no_dns_answer') unresolved, count(*) FILTER (WHERE deferred_reason <> '') deferred, (SELECT count(*) FROM changes JOIN folded USING (host)) changed FROM fetches JOIN folded USING (host)")
+add("fetch_funnel", lambda s, d: fetches.fetch_funnel(X.fetches(s, d), X.first_records(s, d), queue.sweep_queue(X.queue(s, d), X.records(s, d), now(), 50, 600, 7200)), f"WITH {X.S_QUEUE}, swept AS (SELECT host, min(due) due FROM queue WHERE due <= {T} GROUP BY 1 ORDER BY 2, 1 LIMIT 50) SELECT (SELECT count(*) FROM swept JOIN records r USING (host) WHERE NOT r.probed OR r.probed_at + INTERVAL 7200 SECOND <= {T}) backfilled, count(*) FILTER (WHERE deferred_reason = '') probed, count(*) FILTER (WHERE deferred_reason = '' AND error <> '') probe_failed, count(*) FILTER (WHERE deferred_reason = 'address_budget') throttled, count(*) FILTER (WHERE deferred_reason = 'no_dns_answer') unresolved, count(*) FILTER (WHERE deferred_reason <> '') deferred, (SELECT count(*) FROM changes JOIN folded USING (host)) changed FROM fetches JOIN folded USING (host)")
 add("shared_bodies", lambda s, d: fetches.shared_bodies(X.records(s, d)), f"WITH {X.S_RECORDS} SELECT body_hash, count(*) hosts, min(host) first_host, max(host) last_host FROM records WHERE body_hash <> '' GROUP BY 1 HAVING count(*) >= 2")
 add("error_shapes", lambda s, d: X.records(s, d).where("probe_error <> ''").groupBy(error_shape_v4("host", "probe_error")["shape"].alias("shape")).agg(F.count("*").alias("records")), f"WITH {X.S_RECORDS} SELECT regexp_replace(replace(probe_error, host, chr(1)), '46\\.28\\.109\\.\\d+', chr(2), 'g') shape, count(*) records FROM records WHERE probe_error <> '' GROUP BY 1")
 _AD = "array(concat('10.0.0.', cast(event_id % 200 AS string)), concat('203.0.', cast(event_id % 200 AS string), '.1'), concat('100.64.0.', cast(event_id % 9 AS string)))"
 add("fetchable_addresses", lambda s, d: fetches.fetchable_addresses(X.lookups(s, d).withColumn("lookup_id", F.col("event_id")).withColumn("addrs", F.expr(f"IF(event_id % 3 = 0, slice({_AD}, 1, 1), {_AD})"))).select("lookup_id", F.array_join("addrs", ",").alias("addrs"), "refused", "budget_key"), f"WITH {X.S_EVENTS} SELECT event_id lookup_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE '203.0.' || (event_id % 200) || '.1' END addrs, event_id % 3 = 0 refused, CASE WHEN event_id % 3 <> 0 THEN '203.0.' || (event_id % 200) || '.1' END budget_key FROM lookups")
+_V6 = "array(concat('2606:4700::', hex(event_id)), 'fd00::1', concat('64:ff9b::10.0.0.', cast(event_id % 200 AS string)), concat('203.0.', cast(event_id % 200 AS string), '.1'), 'no address')"
+add("fetchable_addresses_v6", lambda s, d: fetches.fetchable_addresses(X.lookups(s, d).selectExpr("event_id AS lookup_id", f"IF(event_id % 4 = 0, slice({_V6}, 2, 2), {_V6}) AS addrs")).select("lookup_id", F.array_join("addrs", ",").alias("addrs"), "refused", "budget_key"), f"WITH {X.S_EVENTS} SELECT event_id lookup_id, CASE WHEN event_id % 4 = 0 THEN '' ELSE '2606:4700::' || hex(event_id) || ',203.0.' || (event_id % 200) || '.1' END addrs, event_id % 4 = 0 refused, CASE WHEN event_id % 4 <> 0 THEN '2606:4700::' || hex(event_id) END budget_key FROM lookups")
 add("scan_records", lambda s, d: records.scan_records(X.first_records(s, d)).select("rev_host", "host"), f"WITH {X.S_FOLD} SELECT array_to_string(list_reverse(string_split(host, '.')), '.') rev_host, host FROM folded")
 add("build_dimension", lambda s, d: records.build_dimension(X.first_records(s, d), "cert_name"), f"WITH {X.S_FOLD} SELECT CAST(row_number() OVER (ORDER BY encode(v)) AS BIGINT) id, v \"value\" FROM (SELECT DISTINCT cert_name v FROM folded WHERE cert_name <> '') UNION ALL SELECT 0, ''")
+_DIM = f"v AS (SELECT cert_name v, row_number() OVER (ORDER BY encode(cert_name)) n FROM (SELECT DISTINCT cert_name FROM folded WHERE cert_name <> '' AND first_seen < TIMESTAMP '2024-01-01 01:40:00'))"
+add("build_dimension_existing", lambda s, d: records.build_dimension(X.first_records(s, d), "cert_name", records.build_dimension(X.first_records(s, d).where(F.col("first_seen") < now("2024-01-01 01:40:00")), "cert_name")),
+    f"WITH {X.S_FOLD}, {_DIM} SELECT CAST(n AS BIGINT) id, v \"value\" FROM v UNION ALL SELECT 0, '' UNION ALL SELECT (SELECT count(*) FROM v) + row_number() OVER (ORDER BY encode(cert_name)), cert_name FROM (SELECT DISTINCT cert_name FROM folded WHERE cert_name <> '' AND cert_name NOT IN (SELECT v FROM v))")
 add("unused_dimension_rows", lambda s, d: records.unused_dimension_rows(records.build_dimension(X.first_records(s, d), "issuer"), X.first_records(s, d).where("issuer <> 'CA1'"), "issuer"), f"WITH {X.S_FOLD}, v AS (SELECT issuer, row_number() OVER (ORDER BY issuer) id FROM (SELECT DISTINCT issuer FROM folded WHERE issuer <> '')) SELECT id, issuer \"value\", CAST(strlen(issuer) AS BIGINT) bytes FROM v WHERE issuer = 'CA1'")
 add("sweep_dimension", lambda s, d: records.sweep_dimension(records.build_dimension(X.first_records(s, d), "issuer"), X.first_records(s, d).where("issuer <> 'CA1'"), "issuer"), f"WITH {X.S_FOLD}, v AS (SELECT issuer, row_number() OVER (ORDER BY issuer) id FROM (SELECT DISTINCT issuer FROM folded WHERE issuer <> '')) SELECT id, issuer \"value\" FROM v WHERE issuer <> 'CA1' UNION ALL SELECT 0, ''")
 add("error_shape_summary", lambda s, d: fetches.error_shape_summary(X.records(s, d)), f"WITH {X.S_RECORDS}, e AS (SELECT probe_error t, regexp_replace(replace(probe_error, host, chr(1)), '46\\.28\\.109\\.\\d+', chr(2), 'g') shape FROM records WHERE probe_error <> ''), g AS (SELECT shape, count(*) n, count(DISTINCT t) texts FROM e GROUP BY 1) SELECT CAST(coalesce(sum(n), 0) AS BIGINT) records, CAST(coalesce(sum(texts), 0) AS BIGINT) texts, count(*) shapes, count(*) FILTER (WHERE n = 1) singletons FROM g")
@@ -129,6 +136,36 @@ add("prune_report", lambda s, d: reports.prune_report(X.records(s, d), "example.
 add("prune_report_failed", lambda s, d: reports.prune_report(X.records(s, d), failed_before=now()), f"WITH {X.S_RECORDS} SELECT count(*) scanned, count(*) FILTER (WHERE {_FAILED}) matched FROM records")
 add("prune_records", lambda s, d: reports.prune_records(X.records(s, d), unseen_before=now(_CUT)).select("host"), f"WITH {X.S_RECORDS} SELECT host FROM records WHERE last_seen >= TIMESTAMP '{_CUT}'")
 
+
+
+def _prune_apply(s: SparkSession, d: str, before: str = _CUT) -> DataFrame:
+    r, shape = X.records(s, d), F.when(F.col("probe_error") != "", error_shape_v4("host", "probe_error")["shape"]).otherwise("")
+    dims = {c: records.build_dimension(r, c) for c in ("issuer", "cert_name")} | {"shape": records.build_dimension(r.select(shape.alias("shape")), "shape")}
+    return reports.prune_apply(r, X.queue(s, d), dims, unseen_before=now(before), values={"shape": shape}).summary
+
+
+_PRUNED = f"""WITH {X.S_QUEUE}, r AS (SELECT *, CASE WHEN probe_error = '' THEN '' ELSE regexp_replace(replace(probe_error, host, chr(1)), '46\\.28\\.109\\.\\d+', chr(2), 'g') END shape, last_seen < TIMESTAMP '@CUT' gone FROM records),
+ v AS (SELECT 'issuer' part, issuer v, gone FROM r UNION ALL SELECT 'cert_name', cert_name, gone FROM r UNION ALL SELECT 'shape', shape, gone FROM r), g AS (SELECT part, v, bool_and(gone) gone FROM v WHERE v <> '' GROUP BY 1, 2)
+ SELECT 'records' part, count(*) "before", count(*) FILTER (WHERE NOT gone) kept, CAST(NULL AS BIGINT) bytes FROM r UNION ALL SELECT 'queue', count(*), count(*) FILTER (WHERE host IN (SELECT host FROM r WHERE NOT gone)), NULL FROM queue
+ UNION ALL SELECT part, count(*) + 1, count(*) FILTER (WHERE NOT gone) + 1, CAST(coalesce(sum(strlen(v)) FILTER (WHERE gone), 0) AS BIGINT) FROM g GROUP BY 1"""
+add("prune_apply", _prune_apply, _PRUNED.replace("@CUT", _CUT))
+add("prune_apply_nothing", lambda s, d: _prune_apply(s, d, "2000-01-01 00:00:00"), _PRUNED.replace("@CUT", "2000-01-01 00:00:00"))
+
+
+def _ingest(s: SparkSession, d: str) -> DataFrame:
+    """The certificates as two batches of the job, into tables in the shared folder."""
+    path = f"{ranks.shared_folder(s)}/ingest-{uuid.uuid4().hex}"
+    job = ingest.Ingest(path, X.rules(s), X.blocklist(s), "query", max_depth=0, limit=200, window_seconds=36_000_000, buckets=16)
+    for k, part in enumerate((F.col("seen_at") < now("2024-01-01 06:00:00"), F.col("seen_at") >= now("2024-01-01 06:00:00"))):
+        job.batch(X.certs(s, d).where(part), k)
+    return ingest.read_ingested(s, path).select(*R.split(", "))
+
+
+# A window longer than all certificates: a parent's first 20 hosts are the accepted ones.
+_TAKEN = f"""{X.S_REG}, {X.S_BLOCK}, fine AS (SELECT n.*, registrable FROM names n JOIN reg USING (host) WHERE depth IS NOT NULL AND NOT {_UP}), firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY host, time_bucket(INTERVAL 10 MINUTE, seen_at) ORDER BY seen_at, source, idx, cert_id) k FROM fine) WHERE k = 1),
+ turn AS (SELECT registrable, host, row_number() OVER (PARTITION BY registrable ORDER BY min(struct_pack(a := seen_at, b := idx)), host) t FROM firsts WHERE host <> registrable GROUP BY 1, 2), taken AS (SELECT * FROM firsts f WHERE host = registrable OR EXISTS (SELECT 1 FROM turn WHERE turn.host = f.host AND t <= 200))"""
+add("run_ingest", _ingest, f"WITH {_TAKEN}, {X.S_FOLD_OF.format('taken')} SELECT {R} FROM folded")
+
 # Logs.
 E_ = f"WITH {X.S_EVENTS}"
 _START = f"{X.S_EVENTS}, st AS (SELECT log, kind, tree_size, CASE WHEN p.pos IS NULL THEN 0 WHEN p.pos > tree_size THEN tree_size WHEN tree_size - p.pos > 400 THEN tree_size ELSE p.pos END pos, CASE WHEN p.pos IS NOT NULL AND tree_size - p.pos > 400 THEN tree_size - p.pos ELSE 0 END skipped FROM heads LEFT JOIN positions p USING (log))"
