@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hostwatch.operators.ranks import before, placed
+from hostwatch.operators.ranks import before, fixed, placed
 
 FEEDS = ("certstream", "ctlog", "tiled")
 
@@ -75,9 +75,11 @@ def answer_rate(lookups: DataFrame, recent: int = 1024, least: int = 64, gap_sec
     gap = F.unix_micros("t") - F.unix_micros(last["t"]) > gap_seconds * 1_000_000
     rows = rows.join(F.broadcast(ends.select("part", "c_before", "a_before", "end")), "part")
     rows = rows.select("*", (F.col("c_before") + F.col("at")).alias("g"), (F.col("a_before") + F.sum("ok").over(w)).alias("sum"), F.coalesce(~last["resolver"].eqNullSafe(F.col("resolver")) | gap, F.lit(True)).alias("new"))
-    begins = rows.where("new").groupBy("part").agg(F.max("g").alias("g"))
-    carried = ends.select("part").join(begins, "part", "left").select("part", F.max("g").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    rows = rows.join(F.broadcast(carried), "part").withColumn("begin", F.coalesce(F.max(F.when(F.col("new"), F.col("g"))).over(w), "carried"))
+    # One more window in the same order, and a checkpoint: what follows reads the rows three times.
+    rows = fixed(rows.withColumn("begin", F.max(F.when(F.col("new"), F.col("g"))).over(w)).select("event_id", "resolver", "ok", "part", "g", "sum", "begin"))
+    begins = rows.groupBy("part").agg(F.max("begin").alias("begin"))
+    carried = begins.select("part", F.max("begin").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    rows = rows.join(F.broadcast(carried), "part").withColumn("begin", F.coalesce("begin", "carried"))
     rows = rows.withColumn("samples", F.least(F.lit(recent), F.col("g") - F.col("begin") + 1))
     earlier = rows.select((F.col("g") + 1).alias("from"), F.col("sum").alias("sum_before"))
     rows = rows.join(earlier, F.col("g") - F.col("samples") + 1 == F.col("from"), "left")
