@@ -200,11 +200,36 @@ def verdicts(certs: DataFrame, rules: DataFrame, suffixes: DataFrame, records: D
     return rows.select("cert_id", "host", "origin", "verdict")
 
 
-def ingest_funnel(certs: DataFrame, rules: DataFrame, suffixes: DataFrame, records: DataFrame, **options) -> DataFrame:
-    """One row of counters; names = too_deep + blocked + dup + capped + new + repeat."""
-    v = verdicts(certs, rules, suffixes, records, **options)
-    kinds = ("too_deep", "blocked", "dup", "capped", "new", "repeat")
-    counts = v.agg(F.count("*").alias("names"), F.count_if(F.col("origin") == "san").alias("from_san"), *(F.count_if(F.col("verdict") == k).alias(k) for k in kinds))
-    cut = F.sum("sans_cut") if "sans_cut" in certs.columns else F.lit(None)  # made by apply_san_policy
-    more = certs.agg(F.count("*").alias("certs"), F.coalesce(cut, F.lit(0)).cast("long").alias("sans_cut"), F.count_if((F.col("cn") != "") & (F.size(expand_name("cn")) == 0)).alias("skipped_cn"))
-    return more.withColumn("__one", F.lit(1)).join(counts.withColumn("__one", F.lit(1)), "__one").drop("__one")
+def ingest_funnel(certs: DataFrame, rules: DataFrame, suffixes: DataFrame, records: DataFrame, max_depth: int = 1, recent: str = "10 minutes", limit: int = 20, window_seconds: int = 600) -> DataFrame:
+    """One row of counters; names = too_deep + blocked + dup + capped + new + repeat.
+
+    The counts of ``verdicts`` without its rows.  A host's sightings in a recent window are one
+    row as soon as a task has seen them, and carry the counts of certificates along; what
+    depends on the host alone is joined to these.  Of a parent's hosts in a window no task hands
+    on more than ``limit``, so neither a hot host nor a hot parent gathers anywhere.
+    """
+    seen = flagged_names(certs)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    few = seen.groupBy("host", F.window("seen_at", recent)["start"].alias("w")).agg(
+        F.count("*").alias("n"), F.min(F.struct("seen_at", "idx")).alias("f"), F.count_if((F.col("origin") == "san") & F.col("host").isNotNull()).alias("san"), F.count_if("head").alias("certs"),
+        F.count_if(F.col("head") & F.col("skipped")).alias("skipped"), total(F.when(F.col("head"), F.col("sans_cut"))).alias("cut"),
+    )
+    hosts = seen.where("host IS NOT NULL").select("host").distinct()
+    known = registrable(hosts, rules).withColumnRenamed("registrable", "parent").join(blocked_hosts(hosts, suffixes).withColumn("bad", F.lit(True)), "host", "left")
+    known = known.join(records.select("host").distinct().withColumn("stored", F.lit(True)), "host", "left")
+    # A row a host: its names, those that the recent filter lets pass, and the first of these.
+    sums = few.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "san", "certs", "skipped", "cut")), F.count("*").alias("passed"), F.min("f").alias("f"))
+    deep = F.col("depth").isNull() | ((F.col("depth") > max_depth) if max_depth > 0 else F.lit(False))
+    rows = sums.join(known, "host", "left").withColumn("state", F.when(F.col("host").isNull(), "none").when(deep, "too_deep").when(F.col("bad"), "blocked").otherwise("in"))
+    rows = rows.withColumn("charged", F.coalesce((F.col("state") == "in") & (F.col("host") != F.col("parent")) & F.col("stored").isNull(), F.lit(False)) & F.lit(limit > 0))
+    of = lambda state, c="n": total(F.when(F.col("state") == state, F.col(c)))
+    all_ = rows.agg(
+        total("certs").alias("certs"), total("cut").alias("sans_cut"), total("skipped").alias("skipped_cn"), total(F.when(F.col("host").isNotNull(), F.col("n"))).alias("names"), total("san").alias("from_san"),
+        of("too_deep").alias("too_deep"), of("blocked").alias("blocked"), (of("in") - of("in", "passed")).alias("dup"), of("in", "passed").alias("__passed"),
+        total(F.when(F.col("charged"), F.col("passed"))).alias("__charged"), F.count_if((F.col("state") == "in") & ~F.col("charged") & F.col("stored").isNull()).alias("__free"),
+    )
+    turn = F.row_number().over(Window.partitionBy("parent", F.window("f.seen_at", f"{window_seconds} seconds")["start"]).orderBy("f.seen_at", "f.idx", "host"))
+    taken = rows.where("charged").withColumn("turn", turn).where(F.col("turn") <= limit).agg(F.count("*").alias("__hosts"), total("passed").alias("__taken"))
+    both = all_.withColumn("__one", F.lit(1)).join(taken.withColumn("__one", F.lit(1)), "__one")
+    new = F.col("__free") + F.col("__hosts")
+    return both.select("certs", "sans_cut", "skipped_cn", "names", "from_san", "too_deep", "blocked", "dup", (F.col("__charged") - F.col("__taken")).alias("capped"), new.alias("new"), (F.col("__passed") - F.col("__charged") + F.col("__taken") - new).alias("repeat"))

@@ -162,3 +162,20 @@ def test_public_ranges_by_the_registry(spark):
             want[x] = a.is_global and not a.is_multicast
     got = spark.createDataFrame([(x,) for x in want], "ip string").select("ip", is_public_address("ip").alias("p")).collect()
     assert {r.ip: r.p for r in got} == want
+
+
+@pytest.mark.parametrize("options", [{}, {"limit": 2, "window_seconds": 1800}, {"limit": 0, "max_depth": 0}])
+def test_funnel_counts_the_verdicts(spark, options):
+    """The counters equal those of the rows' verdicts; a hot parent, stored hosts, names of none."""
+    from tests.test_ingest import CERTS, certs
+
+    frame = spark.createDataFrame(certs(600) + [(9000, None, None, None, None, None, T0)], CERTS)
+    rules, bad = spark.createDataFrame(X.RULES, "kind string, base string"), spark.createDataFrame([("blocked.dev",)], "suffix string")
+    stored = spark.createDataFrame([("t3.platform.com",), ("s1.org",)], "host string")
+    one = filters.ingest_funnel(frame, rules, bad, stored, **options).first().asDict()
+    rows = filters.verdicts(frame, rules, bad, stored, **options)
+    kinds = ("too_deep", "blocked", "dup", "capped", "new", "repeat")
+    want = {r.verdict: r["count"] for r in rows.groupBy("verdict").count().collect()}
+    assert {k: one[k] for k in kinds} == {k: want.get(k, 0) for k in kinds}
+    assert one["names"] == sum(want.values()) and one["certs"] == 601
+    assert options or one["dup"] > 20
