@@ -7,15 +7,19 @@ every text has a proper probability.  Output: the word's class, then the word in
 two softmaxes of about the root of the vocabulary.
 
 Training is truncated backpropagation in numpy (windows of ``WINDOW`` steps, state carried
-across windows and reset at document starts) with Adam, in data-parallel rounds: each task
-trains a copy on its own part, and the copies are averaged by tokens with a distributed
-sum.  Round i learns from the training documents whose hash falls in the i-th of ``ROUNDS``
-slices, so that each training document is seen once.  Before training the output biases are
-the counts' own shares.
+across windows and reset at document starts) with Adam, in data-parallel rounds.  Round i
+learns from the training documents whose hash falls in the i-th of ``ROUNDS`` slices, so that
+each training document is seen once.  A round's documents are dealt by a second hash to
+shards, one for about ``SHARD_TOKENS`` of all training tokens; each shard trains a copy, its
+documents in the order of their ids, and the copies are averaged by tokens, as whole
+numbers of 2**-SCALE, whose sum has no order.  So the model depends on the documents only,
+not on their partitions or the number of executors.  Equal rows share a shard; a shard of
+any size is read in chunks of ``CHUNK_TOKENS``.  Before training the output biases are the
+counts' own shares.
 
 Scoring runs whole documents through the network, many side by side in lanes, state
-carried across windows.  Counts of the commonest words, ``HOT`` at most, are broadcast; the counts
-of all other words are joined.
+carried across windows.  Counts of the commonest words, about ``HOT``, are broadcast; the
+counts of all other words are joined.
 
 Null and empty texts are one end.  Repeated rows count and are scored as rows.  An empty
 training set: N and V are 0 and the network keeps its first weights.
@@ -26,6 +30,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,7 @@ VOCABULARY = CLASSES * WIDTH
 HOT, ROUNDS, RATE, CLIP = 65_536, 4, 0.01, 1.0
 OTHER, END = 0, 1
 CHUNK_TOKENS, FLUSH_WORDS = 3_000_000, 400_000
+SHARD_TOKENS, SCALE = 1 << 19, 24
 SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, WIDTH), "wb": (CLASSES, WIDTH)}
 Model = dict[str, np.ndarray]
 
@@ -273,21 +279,29 @@ def count_words(raw: DataFrame) -> DataFrame:
 
 
 def commonest(counts: DataFrame, most: int) -> list:
-    """The rows of the commonest words, ``most`` at most, by falling count: all words above
-    a count that a histogram of 8 steps an octave gives, at most 512 numbers."""
-    step = F.floor(F.log2("c") * 8)
-    sizes, least, total = dict(counts.groupBy(step.alias("s")).agg(F.count("*")).collect()), None, 0
+    """The rows of about the ``most`` commonest words, by falling count, then by the word.
+
+    A histogram of 8 steps an octave, at most 512 numbers, gives the steps that are taken
+    whole.  Of the first that doesn't fit, a hash of the word takes as many as are wanted,
+    give or take their root, so that a step of any number of words fills the rest.
+    """
+    step, total = F.floor(F.log2("c") * 8), 0
+    sizes = dict(counts.groupBy(step.alias("s")).agg(F.count("*")).collect())
+    wanted = F.lit(False)
     for s in sorted(sizes, reverse=True):
-        if (total := total + sizes[s]) > most:
+        share = min(1.0, (most - total) / sizes[s])
+        wanted = wanted | ((step == s) & (F.shiftrightunsigned(F.xxhash64("word"), 1) < F.lit(int(share * ((1 << 63) - 1)))) if share < 1 else step == s)
+        if (total := total + sizes[s]) >= most:
             break
-        least = s
-    return [] if least is None else sorted(counts.where(step >= least).collect(), key=lambda r: (-r.c, bytes(r.word)))
+    return sorted(counts.where(wanted).collect(), key=lambda r: (-r.c, bytes(r.word))) if sizes else []
 
 
-def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray) -> Model:
-    """Rounds of data-parallel passes over ``raw(doc_id, raw)``, averaged by tokens."""
+def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray, tokens: int) -> Model:
+    """Rounds of data-parallel passes over ``raw(doc_id, raw)`` of so many tokens, averaged by tokens."""
     spark, model = raw.sparkSession, first_model(share)
     words = spark.sparkContext.broadcast(vocabulary)  # VOCABULARY words
+    shards = max(1, ceil(tokens / ROUNDS / SHARD_TOKENS))
+    dealt = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "raw"), F.lit(shards)).cast("int")
     for i in range(ROUNDS):
         start = spark.sparkContext.broadcast(model)
 
@@ -302,13 +316,16 @@ def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray) -> Mo
                         total, docs, size = total + n, [], 0
             m, n = train_documents(m, docs)
             if total := total + n:
-                yield pa.RecordBatch.from_arrays([pa.array([_vector(m).astype(np.float64) * total], pa.list_(pa.float64())), pa.array([total], pa.int64())], ["v", "n"])
-
-        part = raw.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i).select("raw")
-        sums = part.mapInArrow(run, "v array<double>, n long")
-        got = sums.select("n", F.posexplode("v").alias("i", "v")).groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+                whole = np.rint(_vector(m).astype(np.float64) * (1 << SCALE)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([whole], pa.list_(pa.int64())), pa.array([total], pa.int64())], ["v", "n"])
+
+        part = raw.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i).select(dealt.alias("shard"), "doc_id", "raw")
+        part = part.repartitionById(shards, "shard").sortWithinPartitions("doc_id", F.xxhash64("raw")).select("raw")
+        sums = part.mapInArrow(run, "v array<long>, n long")
+        exact = F.sum(F.col("v").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("double")
+        got = sums.select("n", F.posexplode("v").alias("i", "v")).groupBy("i").agg((exact / F.sum("n")).alias("v")).toPandas()
         if len(got):  # as many numbers as the model has
-            model = _model(got.sort_values("i")["v"].to_numpy())
+            model = _model(got.sort_values("i")["v"].to_numpy() / (1 << SCALE))
     return model
 
 
@@ -332,7 +349,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     n_other = n - share.sum()
     share[OTHER] = n_other
     v_other = v - len(vocabulary) - 1
-    model = train(raw.where("training"), vocabulary, share + 0.5)
+    model = train(raw.where("training"), vocabulary, share + 0.5, int(n))
     floor, other_floor = np.log10(n + v + 1), np.log10(max(n_other, 0) + max(v_other, 0) + 1)
     end_base = np.log10(share[END] + 1)
     sent = spark.sparkContext.broadcast((model, vocabulary, {bytes(r.word): r.c for r in hot}))

@@ -491,10 +491,33 @@ def test_lm_learns_from_every_slice(spark):
     text = F.repeat(F.concat(F.lit("w"), at.cast("string"), F.lit(" ")), 20)
     raw = spark.range(200).select(F.col("id").alias("doc_id")).select("doc_id", text.cast("binary").alias("raw"))
     share = np.ones(lm_score.VOCABULARY)
-    model, first = lm_score.train(raw, {b"w%d" % i: 2 + i for i in range(8)}, share), lm_score.first_model(share)
+    model, first = lm_score.train(raw, {b"w%d" % i: 2 + i for i in range(8)}, share, 4200), lm_score.first_model(share)
     assert [i for i in range(8) if np.array_equal(model["x"][2 + i], first["x"][2 + i])] == []
 
 
+def test_lm_depends_on_the_documents_only(spark, monkeypatch):
+    # The same rows in other partitions and another order: the same copies, the same sums.
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 300)
+    rows = [(d, t) for d, t, *_ in awkward()]
+    found = []
+    for n in (1, 6, 41):
+        table = spark.createDataFrame(random.Random(n).sample(rows, len(rows)), "doc_id long, text string").repartition(n)
+        out = lm_score.score(table, F.lit(True)).collect()
+        found.append(sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.score) for r in out))
+    for other in found[1:]:
+        assert [x[:4] for x in other] == [x[:4] for x in found[0]]
+        assert [x[4] for x in other] == pytest.approx([x[4] for x in found[0]], rel=1e-5)
+
+
+def test_commonest_words_when_all_are_alike(spark):
+    counts = spark.range(20_000).select(F.col("id").cast("string").cast("binary").alias("word"), F.when(F.col("id") < 50, 900 - F.col("id")).otherwise(3).alias("c"))
+    got = lm_score.commonest(counts, 1000)
+    assert [r.c for r in got[:50]] == list(range(900, 850, -1)) and abs(len(got) - 1000) < 150
+    assert lm_score.commonest(counts.where("id >= 50"), 1000)
+    assert [r.c for r in lm_score.commonest(counts.where("id < 50"), 1000)] == list(range(900, 850, -1))
+    assert lm_score.commonest(counts.where("id < 0"), 1000) == []
+
+
 def test_lm_is_a_distribution_and_learns():
     rng = np.random.default_rng(0)
     share = np.ones(lm_score.VOCABULARY)
