@@ -61,11 +61,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the folders that ``written`` made for ``df``, when nothing reads them any more."""
+    """Delete the folders that ``written`` made for ``df``, when nothing reads them any more.
+
+    Only folders right under ``shared_dir``; a DataFrame that reads any other file is refused.
+    """
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    root = path(shared_dir(spark))
+    root = root.getFileSystem(conf).makeQualified(root)
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    if other := [f for f in folders if not path(f).getParent().equals(root)]:
+        raise ValueError(f"not written in the shared folder: {other[:3]}")
+    for name in folders:
+        path(name).getFileSystem(conf).delete(path(name), True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hostwatch.llm import chat, components, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, repetition, suffix_dedup, warc
+from hostwatch.llm import chat, common, components, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, repetition, suffix_dedup, warc
 from hostwatch.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -463,6 +463,20 @@ def test_mixing_has_no_limit_of_sources(spark):
     assert {r.slot for r in got} == set(range(600 * 2 + 600))
 
 
+def test_discard_takes_written_tables_only(spark, tmp_path):
+    rows = spark.range(5)
+    mine = common.written(rows, "mine")
+    rows.write.parquet(f"{tmp_path}/other")
+    other = spark.read.parquet(f"{tmp_path}/other")
+    for df in (other, mine.unionByName(other)):
+        with pytest.raises(ValueError):
+            common.discard(df)
+    assert mine.count() == other.count() == 5
+    common.discard(mine)
+    with pytest.raises(Exception, match="(?i)not.?exist"):
+        mine.count()
+
+
 def test_ranks(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
     table = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(500)], "doc_id long, source string")
