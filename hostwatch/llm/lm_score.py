@@ -38,14 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostwatch.llm.common import small_batches, table, written
+from hostwatch.llm.common import discard, small_batches, table, written
 
 CLASSES, WIDTH, HIDDEN, WINDOW, LANES = 32, 32, 16, 32, 512
 VOCABULARY = CLASSES * WIDTH
 HOT, ROUNDS, RATE, CLIP = 65_536, 4, 0.01, 1.0
 OTHER, END = 0, 1
 CHUNK_TOKENS, FLUSH_WORDS = 3_000_000, 400_000
-SHARD_TOKENS, SCALE = 1 << 19, 24
+SHARD_TOKENS, SCALE = 1 << 21, 24
 SHAPES = {"x": (VOCABULARY, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "w": (CLASSES, HIDDEN, WIDTH), "wb": (CLASSES, WIDTH)}
 Model = dict[str, np.ndarray]
 
@@ -301,15 +301,24 @@ def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray, token
     spark, model = raw.sparkSession, first_model(share)
     words = spark.sparkContext.broadcast(vocabulary)  # VOCABULARY words
     shards = max(1, ceil(tokens / ROUNDS / SHARD_TOKENS))
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [_ids(words.value, x).tobytes() for x in b.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], [*b.schema.names[:-1], "ids"])
+
     dealt = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "raw"), F.lit(shards)).cast("int")
+    keyed = raw.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"), dealt.alias("shard"), "doc_id", "raw")
+    # Two bytes a token from here on: no text is shuffled, and none is read again for each round.
+    ids = written(keyed.mapInArrow(tokens_of, "round long, shard int, doc_id long, ids binary"), "lm-ids")
     for i in range(ROUNDS):
         start = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             m, total, docs, size = start.value, 0, [], 0
             for b in batches:
-                for x in b.column("raw").to_pylist():
-                    docs.append(_ids(words.value, x))
+                for x in b.column("ids").to_pylist():
+                    docs.append(np.frombuffer(x, np.int16))
                     size += len(docs[-1])
                     if size > CHUNK_TOKENS:
                         m, n = train_documents(m, docs)
@@ -319,13 +328,13 @@ def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray, token
                 whole = np.rint(_vector(m).astype(np.float64) * (1 << SCALE)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([whole], pa.list_(pa.int64())), pa.array([total], pa.int64())], ["v", "n"])
 
-        part = raw.where(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == i).select(dealt.alias("shard"), "doc_id", "raw")
-        part = part.repartitionById(shards, "shard").sortWithinPartitions("doc_id", F.xxhash64("raw")).select("raw")
+        part = ids.where(F.col("round") == i).repartitionById(shards, "shard").sortWithinPartitions("doc_id", F.xxhash64("ids")).select("ids")
         sums = part.mapInArrow(run, "v array<long>, n long")
         exact = F.sum(F.col("v").cast("decimal(19,0)") * F.col("n").cast("decimal(19,0)")).cast("double")
         got = sums.select("n", F.posexplode("v").alias("i", "v")).groupBy("i").agg((exact / F.sum("n")).alias("v")).toPandas()
         if len(got):  # as many numbers as the model has
             model = _model(got.sort_values("i")["v"].to_numpy() / (1 << SCALE))
+    discard(ids)
     return model
 
 
