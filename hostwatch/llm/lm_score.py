@@ -30,6 +30,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import ceil
 
 import numpy as np
@@ -247,11 +248,9 @@ def _model(v: np.ndarray) -> Model:
     return out
 
 
-def _ids(vocabulary: dict[bytes, int], raw: bytes | None) -> np.ndarray:
-    w = words_of(raw)
+def _ids(vocabulary: dict[bytes, int], w: list[bytes]) -> np.ndarray:
     out = np.empty(len(w) + 1, np.int16)
-    get = vocabulary.get
-    out[:-1] = np.fromiter((get(x, OTHER) for x in w), np.int16, len(w))
+    out[:-1] = np.fromiter(map(vocabulary.get, w, repeat(OTHER)), np.int16, len(w))
     out[-1] = END
     return out
 
@@ -287,13 +286,17 @@ def commonest(counts: DataFrame, most: int) -> list:
     """
     step, total = F.floor(F.log2("c") * 8), 0
     sizes = dict(counts.groupBy(step.alias("s")).agg(F.count("*")).collect())
-    wanted = F.lit(False)
     for s in sorted(sizes, reverse=True):
         share = min(1.0, (most - total) / sizes[s])
-        wanted = wanted | ((step == s) & (F.shiftrightunsigned(F.xxhash64("word"), 1) < F.lit(int(share * ((1 << 63) - 1)))) if share < 1 else step == s)
         if (total := total + sizes[s]) >= most:
             break
-    return sorted(counts.where(wanted).collect(), key=lambda r: (-r.c, bytes(r.word))) if sizes else []
+    if not sizes:
+        return []
+    # One comparison with the count's own bound for nearly all rows; s and share are the last step's.
+    below, above = (ceil(2 ** (x / 8) * (1 - 1e-9)) for x in (s, s + 1))
+    part = F.shiftrightunsigned(F.xxhash64("word"), 2) <= F.lit(int(share * (1 << 62)))
+    wanted = (F.col("c") >= below) & ((F.col("c") >= above) | part)
+    return sorted(counts.where(wanted).collect(), key=lambda r: (-r.c, bytes(r.word)))
 
 
 def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray, tokens: int) -> Model:
@@ -304,7 +307,7 @@ def train(raw: DataFrame, vocabulary: dict[bytes, int], share: np.ndarray, token
 
     def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [_ids(words.value, x).tobytes() for x in b.column("raw").to_pylist()]
+            ids = [_ids(words.value, words_of(x)).tobytes() for x in b.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary())], [*b.schema.names[:-1], "ids"])
 
     dealt = F.pmod(F.xxhash64(F.lit("shard"), "doc_id", "raw"), F.lit(shards)).cast("int")
@@ -382,7 +385,8 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
 
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("raw").to_pylist()):
-                seen = Counter(words_of(x))
+                words = words_of(x)
+                seen = Counter(words)
                 known, base, other, others, rare = end_known, end_base, 0.0, 0, {}
                 for w, k in seen.items():
                     if (g := logs.get(w)) is None:
@@ -394,7 +398,7 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
                         if w not in vocabulary:
                             other += k * g
                             others += k
-                ids.append(_ids(vocabulary, x))
+                ids.append(_ids(vocabulary, words))
                 t = len(ids[-1])
                 rows.append((d, t, known, base - t * floor, other - others * other_floor, list(rare), list(rare.values())))
                 size += t
