@@ -355,4 +355,30 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _starts(docs, LENGTH, "none").mapInArrow(_digest(LENGTH), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op9_suffix_dedup": """
+WITH docs AS (
+    SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS raw FROM documents
+), sized AS (
+    SELECT *, octet_length(raw) AS n FROM docs
+), starts AS (
+    SELECT r, i, md5(raw[i:i + 399]) AS h FROM (SELECT r, raw, n, unnest(range(1, n - 398)) AS i FROM sized WHERE n >= 400)
+), twice AS (
+    SELECT r, i FROM starts SEMI JOIN (SELECT h FROM starts GROUP BY h HAVING count(*) > 1) USING (h)
+), runs AS (
+    SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS run
+    FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM twice)
+), spans AS (
+    SELECT r, min(i) AS lo, max(i) + 400 AS hi FROM runs GROUP BY r, run
+), kept AS (
+    SELECT r, lag(hi, 1, 1) OVER (PARTITION BY r ORDER BY lo) AS a, lo AS b FROM spans
+    UNION ALL
+    SELECT s.r, coalesce(x.hi, 1), s.n + 1 FROM sized s LEFT JOIN (SELECT r, max(hi) AS hi FROM spans GROUP BY r) x USING (r)
+), texts AS (
+    SELECT k.r, string_agg(CASE WHEN k.b > k.a THEN hex(s.raw[k.a:k.b - 1]) ELSE '' END, '' ORDER BY k.a) AS left_over
+    FROM kept k JOIN sized s USING (r) GROUP BY k.r
+)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_bytes, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(x.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t.left_over)) AS kept_sha256
+FROM sized s JOIN texts t USING (r) LEFT JOIN (SELECT r, sum(hi - lo) AS gone, count(*) AS spans FROM spans GROUP BY r) x USING (r)
+""",
+}

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from math import ceil, log10
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from hostwatch.llm import chat, common, components, decontaminate, line_dedup, lm_score, mixing, near_dedup, quality, repetition, suffix_dedup, warc
 from hostwatch.llm.components import connected_components
 
+SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -218,6 +220,20 @@ def test_suffix_dedup(spark, docs, n, hot, monkeypatch):
     assert got == sorted(want)
 
 
+def test_op9_query(spark):
+    # The registered query on a whole given table: brute force, and the SQL beside it.
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    texts = [(r.text or "").encode() for r in rows]
+    want = []
+    for r, t, gone in zip(rows, texts, brute_spans(texts, 400)):
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        want.append((r.doc_id, len(t), sum(gone), runs, hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()))
+    assert sorted(map(tuple, suffix_dedup.op9_suffix_dedup(spark, SMALL).collect())) == sorted(want)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    assert sorted(db.sql(suffix_dedup.SQL["op9_suffix_dedup"]).fetchall()) == sorted(want)
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_suffix_dedup_keeps_first(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
