@@ -515,6 +515,45 @@ def test_lm_scores(spark, docs):
     assert lm_score.score(docs.select("doc_id", "text").limit(0), F.lit(True)).count() == 0
 
 
+def test_op8_query(spark):
+    rows = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in rows}
+    count = Counter(x for d, w in rows.items() if not held[d] for x in w)
+    n, v = sum(count.values()), len(count)
+    out = lm_score.op8_lm_score(spark, SMALL).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        w = rows[r.doc_id]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(x in count for x in w), n)
+        assert r.base_score == pytest.approx(sum(log10((count[x] + 1) / (n + v + 1)) for x in w))
+    # Better than the unigram base on documents it hasn't seen.
+    assert sum(r.score for r in out if r.held_out) > sum(r.base_score for r in out if r.held_out)
+
+
+def test_op7_query(spark):
+    # Every document once; a slot is one source's; counts stay within a block of the weights.
+    docs = {r.doc_id: r.source or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    out = mixing.op7_mixing(spark, SMALL).collect()
+    assert sorted(r.doc_id for r in out) == sorted(docs)
+    of = {}
+    for r in out:
+        assert of.setdefault(r.slot, (r.phase, docs[r.doc_id])) == (r.phase, docs[r.doc_id])
+    assert sorted(of) == list(range(len(of)))
+    sizes, start = Counter(docs.values()), 0
+    left = {s: ceil(n / mixing.BLOCK) for s, n in sizes.items()}
+    for phase in sorted({p for p, _ in of.values()}):
+        slots = [of[i][1] for i in sorted(of) if of[i][0] == phase]
+        live = {s: sizes[s] ** 0.5 for s, k in left.items() if k}
+        assert [of[i][0] for i in range(start, start + len(slots))] == [phase] * len(slots)
+        done = Counter()
+        for t, s in enumerate(slots, 1):
+            done[s] += 1
+            assert all(abs(done[x] - t * w / sum(live.values())) < 1 + 1e-9 for x, w in live.items())
+        left = {s: k - done[s] for s, k in left.items()}
+        start += len(slots)
+    assert not any(left.values())
+
+
 def test_lm_learns_from_every_slice(spark):
     # Each eighth of the hash has a word of its own; each word's weights must have moved.
     at = F.pmod(F.xxhash64("doc_id"), F.lit(8))
