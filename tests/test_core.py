@@ -64,6 +64,18 @@ def test_public_addresses(spark):
     assert {r.ip: r.p for r in got} == cases
 
 
+def test_public_addresses_beside_the_registries(spark):
+    # Both ends of every IPv4 /16 and every 16th IPv6 /16, with the standard library's view of the registries.
+    import ipaddress as ip
+
+    counted_public = [ip.ip_network(n) for n in ("240.0.0.0/4", "100::/64", "2001::/23")]  # reserved, discard-only, protocol assignments
+    nets = [ip.ip_network((n << 16, 16)) for n in range(1 << 16)] + [ip.ip_network((n << 112, 16)) for n in range(0, 1 << 16, 16)]
+    ends = {a for n in nets for a in (n[0], n[-1])}
+    public = lambda a: a != ip.ip_address("255.255.255.255") and (any(a in n for n in counted_public) or a.is_global and not a.is_multicast)
+    got = spark.createDataFrame([(str(a),) for a in ends], "ip string").select("ip", is_public_address("ip").alias("p")).collect()
+    assert {r.ip for r in got if r.p != public(ip.ip_address(r.ip))} == set()
+
+
 def test_errors_round_trip(spark):
     h, public, private = "q.zeta.museum", ["46.1.2.3", "[2a02:7::9]", "199.7.8.9"], ["10.20.30.40"]
     cases = [(h, f"open {h}: " + " via ".join(f"{a}:99" for a in (public + private)[:k]) + f" after {k} tries", k) for k in range(5)]
