@@ -61,7 +61,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete the folders that ``written`` made for ``df``, when nothing reads them any more.
+    """Delete the folders that ``written`` or ``by_key`` made for ``df``, when nothing reads them any more.
 
     Only folders right under ``shared_dir``; a DataFrame that reads any other file is refused.
     """
@@ -73,6 +73,9 @@ def discard(df: DataFrame) -> None:
     if other := [f for f in folders if not path(f).getParent().equals(root)]:
         raise ValueError(f"not written in the shared folder: {other[:3]}")
     for name in folders:
+        made = name.rsplit("/", 1)[1]
+        if "-" not in made:  # by_key names the folder like the table
+            spark.sql(f"DROP TABLE IF EXISTS `{made}`")
         path(name).getFileSystem(conf).delete(path(name), True)
 
 
