@@ -116,11 +116,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Trees:
     """Fit on at most ``sample`` labelled documents; that many ids are broadcast, that many
-    rows of statistics come to the driver."""
+    rows of statistics at most, however often an id occurs, come to the driver."""
     small_batches(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("y").cast("double"))
-    got = rows.select("y", "text").mapInArrow(_features, "y double, x array<double>").toPandas()
+    got = rows.select("y", "text").mapInArrow(_features, "y double, x array<double>")
+    got = got.orderBy(F.xxhash64("x", "y"), "x", "y").limit(sample).toPandas()
     if not len(got):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     got["key"] = got["x"].map(tuple)
