@@ -4,6 +4,7 @@ import ipaddress
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from hostwatch.functions import names as P
 from hostwatch.functions.addresses import error_shape_v4
 from hostwatch.operators import feeds, fetches, filters, queue, ranks, records, reports
 from hostwatch.plans import fixtures as X
+from hostwatch.plans import queries
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1)
@@ -120,6 +122,17 @@ def test_fetchable_addresses(spark):
     assert got == {1: (["2606:4700::1", "8.8.8.8"], False, "2606:4700::1"), 2: ([], True, None), 3: ([], True, None), 4: (None, True, None), 5: (["8.8.4.4"], False, "8.8.4.4"), 6: (["2606:4700::1"] * 2, False, "2606:4700::1")}
 
 
+def test_fetchable_addresses_v6_of_large_ids(spark, tmp_path):
+    """Ids of more than four hex digits, against the registered SQL."""
+    ids = [0, 65535, 65536, 65537, 99999, 0xFFFFFFF, (1 << 32) + 1, (1 << 63) - 1]
+    spark.createDataFrame([(i, 1, "view", T0) for i in ids], "event_id long, user_id long, event_type string, ts timestamp_ntz").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.Q["fetchable_addresses_v6"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = db.execute(queries.S["fetchable_addresses_v6"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_requeue_policy(spark):
     rows = spark.createDataFrame([("a", T0, ""), ("b", T0, "address_budget"), ("c", T0, "")], "host string, fetched_at timestamp_ntz, deferred_reason string")
     due = F.when(F.col("host") == "a", F.col("fetched_at") + F.expr("INTERVAL 1 DAY"))
