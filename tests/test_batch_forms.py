@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hostwatch.functions import names as P
 from hostwatch.functions.addresses import error_shape_v4
-from hostwatch.operators import feeds, fetches, filters, queue, ranks, records, reports
+from hostwatch.operators import feeds, fetches, filters, logs, queue, ranks, records, reports
 from hostwatch.plans import fixtures as X
 from hostwatch.plans import queries
 
@@ -133,6 +133,20 @@ def test_fetchable_addresses_v6_of_large_ids(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_plan_log_reads_deals_long_logs(spark):
+    """Two long logs in two rows: no range is lost, and no task unfolds more than its share."""
+    n = 3 * 1_000_000
+    heads = spark.createDataFrame([("a", "rfc6962", n * 64 - 1), ("b", "tiled", n * 256 - 1), ("c", "tiled", 10), ("d", "rfc6962", 10)], "log string, kind string, tree_size long").coalesce(1)
+    was = spark.createDataFrame([("a", 5), ("b", 300), ("c", 10), ("d", 3)], "log string, pos long")
+    plan = logs.plan_log_reads(heads, was)
+    got = {r.log: tuple(r)[1:] for r in plan.groupBy("log").agg(F.count("*"), F.min("first"), F.max("last"), F.sum(F.col("last") - F.col("first") + 1), F.max_by("path", "first")).collect()}
+    assert got == {
+        "a": (n, 5, n * 64 - 2, n * 64 - 6, None), "b": (n - 1, 300, n * 256 - 2, n * 256 - 301, f"tile/data/x00{(n - 1) // 1_000_000}/x{(n - 1) // 1000 % 1000:03}/{(n - 1) % 1000:03}.p/255"), "d": (1, 3, 9, 7, None),
+    }
+    tasks = [r["count"] for r in plan.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(tasks) >= 3 and max(tasks) < 3_000_000
+
+
 def test_requeue_policy(spark):
     rows = spark.createDataFrame([("a", T0, ""), ("b", T0, "address_budget"), ("c", T0, "")], "host string, fetched_at timestamp_ntz, deferred_reason string")
     due = F.when(F.col("host") == "a", F.col("fetched_at") + F.expr("INTERVAL 1 DAY"))
