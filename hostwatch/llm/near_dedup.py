@@ -212,7 +212,7 @@ def _components(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     # Then what is left in buckets of several components.
     pairs, rest = unsettled(shared, found, "near")
     elements = written(rest.join(sets, "id").select("id", "c", "g", "s").mapInArrow(_elements, "id long, c long, g long, s long"), "near-elements")
-    pairs = pairs.unionByName(prefix_pairs(elements))
+    pairs = pairs.unionByName(prefix_pairs(elements).select("a", "b"))
     discard(elements)
     more = _confirmed(_likely(pairs, bits), sets)
     return connected_components(links.unionByName(more))

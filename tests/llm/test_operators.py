@@ -159,6 +159,30 @@ def test_line_dedup_across_components(spark):
     assert got == {d for d, _ in brute_lines(rows)} and len(got) >= len(edits)
 
 
+def test_line_dedup_verifies_few_of_a_large_group(spark, monkeypatch):
+    """Lines that are all somewhat alike: the pairs verified grow with their number, not with its square."""
+    rng = random.Random(9)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([1, 2, 3])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "s", 0))
+    met, own = [], line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_verified", lambda pairs, texts: (met.append(pairs.count()), own(pairs, texts))[1])
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).where("n_removed = 1").collect()}
+    assert got == {d for d, _ in brute_lines(rows)}
+    assert sum(met) < 20 * len(rows), met
+
+
+def test_likeliest_and_across(spark):
+    pairs = spark.createDataFrame([(1, 2, 5), (1, 3, 9), (2, 3, 1), (4, 5, 0)], "a long, b long, n long")
+    got = {(r.a, r.b) for r in components.likeliest(pairs).collect()}
+    assert {(1, 3), (1, 2), (4, 5)} <= got <= {(1, 2), (1, 3), (2, 3), (4, 5)}
+    found = spark.createDataFrame([(1, 1), (3, 1), (5, 2), (2, 2)], "id long, component long")
+    assert {(r.a, r.b) for r in components.across(pairs, found).collect()} == {(1, 2), (2, 3), (4, 5)}
+
+
 def test_line_dedup(spark, docs, empty):
     # Similarities well away from the threshold's edge, where banding may miss.
     want = brute_lines(awkward())
