@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from math import ceil, log10
@@ -175,6 +176,30 @@ def test_line_dedup_verifies_few_of_a_large_group(spark, monkeypatch):
     assert sum(met) < 20 * len(rows), met
 
 
+def test_line_dedup_runs_no_python(spark, monkeypatch):
+    """No plan of line dedup, of its steps and its result, has a Python or Arrow node."""
+    plans, own, keyed = [], line_dedup.written, line_dedup.by_key
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (plan(df), own(df, name))[1])
+    monkeypatch.setattr(line_dedup, "by_key", lambda df, *args, **kw: (plan(df), keyed(df, *args, **kw))[1])
+    rows = [(i, "one two three four five six seven eight" + " nine" * (i % 3), "en", "s", 0) for i in range(30)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS).coalesce(1))
+    plan(out)
+    assert len(plans) > 10 and not [p for p in plans if re.search("Python|Pandas|Arrow", p)]
+    assert out.where("n_removed = 0").count() == len({d for d, *_ in rows}) - len(brute_lines(rows))
+
+
+def test_rehubbed(spark):
+    members = spark.createDataFrame([(1, i) for i in range(10)] + [(2, 20), (2, 21)], "h long, id long")
+    found = spark.createDataFrame([(i, i % 2) for i in range(10)], "id long, component long")
+    got = [(r.a, r.b) for r in components.rehubbed(members, found, 0).collect()]
+    hub = set.intersection(*map(set, got))
+    assert len(got) == 5 and len(hub) == 1 and all((a + b) % 2 for a, b in got)
+    turns = {tuple(sorted((r.a, r.b) for r in components.rehubbed(members, found, i).collect())) for i in range(6)}
+    assert len(turns) > 1  # another hub
+    assert components.rehubbed(members, found.withColumn("component", F.lit(0)), 0).count() == 0
+
+
 def test_likeliest_and_across(spark):
     pairs = spark.createDataFrame([(1, 2, 5), (1, 3, 9), (2, 3, 1), (4, 5, 0)], "a long, b long, n long")
     got = {(r.a, r.b) for r in components.likeliest(pairs).collect()}
