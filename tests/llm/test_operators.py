@@ -680,6 +680,10 @@ def test_crc_is_what_spark_computes(spark):
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got)
 
 
+def hash_of(x):
+    return zlib.crc32(str(x).encode())
+
+
 def test_prefix_pairs_lose_nothing(spark):
     # Sets of one group, each a component of its own: every pair of similarity 0.8 is among the candidates.
     rng = random.Random(12)
@@ -694,6 +698,20 @@ def test_prefix_pairs_lose_nothing(spark):
     assert near and near <= got and len(got) < 60 * 59 / 2
 
 
+def test_prefix_pairs_meet_once(spark, monkeypatch):
+    """Sets that share many elements of their prefixes: the join has hardly more rows than pairs, and loses none."""
+    rng = random.Random(4)
+    kinds = [[f"{k}.{i}" for i in range(14)] for k in range(8)]
+    sets = {i: {*range(100), *(x for k in rng.sample(kinds, 3) for x in k if rng.random() > 0.1)} for i in range(60)}
+    rows = [(i, i, 0, hash_of(x)) for i, s in sets.items() for x in s]
+    members = spark.createDataFrame(rows, "id long, c long, g long, s long").coalesce(4)
+    met = [(r.a, r.b) for r in components.prefix_meetings(members).collect()]
+    monkeypatch.setattr(components, "BACK", 0)
+    before = [(r.a, r.b) for r in components.prefix_meetings(members).collect()]
+    near = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert near and near <= set(met) == set(before) and len(met) < 1.5 * len(set(met)) and 2 * len(met) < len(before)
+
+
 CLASH = ["u", "d", "w", "los", "his", "raw", "s", "b", "n", "at", "key", "mine", "theirs", "covered", "of", "rank", "order", "range", "count", "before", "x", "k", "h", "c"]
 ODD = [(1, None), (2, ""), (3, "  \n\t"), (4, "a"), (4, "a"), (4, "one other text of the same id\nwith a line that stands here and in another document"), (None, None), (None, "no id"), (5, "w" * 30_000), (6, " ".join(f"w{i}" for i in range(4000))), (7, "with a line that stands here and in another document\nand one more")]
 OPERATORS = {
