@@ -147,6 +147,18 @@ def test_plan_log_reads_deals_long_logs(spark):
     assert len(tasks) >= 3 and max(tasks) < 3_000_000
 
 
+def test_plan_log_reads_deals_like_places(spark, monkeypatch):
+    """A task of long logs has the same stretch of many of them, so that its file names few places; no range is lost."""
+    monkeypatch.setattr(logs, "TASK", 1 << 14)
+    heads = spark.createDataFrame([(f"log{i}", "tiled" if i % 2 else "rfc6962", 8192 * (256 if i % 2 else 64) + i) for i in range(40)], "log string, kind string, tree_size long").coalesce(1)
+    plan = logs.plan_log_reads(heads, spark.createDataFrame([], "log string, pos long"), from_start=True)
+    tasks = plan.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"), F.count_distinct("first").alias("places")).collect()
+    assert sum(t.n for t in tasks) == 40 * 8192 + 39 and max(t.n for t in tasks) < 3 << 14
+    assert max(t.places for t in tasks) <= 4 * 1024, tasks
+    got = plan.groupBy("log").agg(F.count("*").alias("n"), F.count_distinct("first").alias("firsts"), F.sum(F.col("last") - F.col("first") + 1).alias("size"))
+    assert {(r.log, r.n, r.firsts, r["size"]) for r in got.collect()} == {(f"log{i}", n, n, 8192 * (256 if i % 2 else 64) + i) for i in range(40) for n in [8192 + (i > 0)]}
+
+
 def test_requeue_policy(spark):
     rows = spark.createDataFrame([("a", T0, ""), ("b", T0, "address_budget"), ("c", T0, "")], "host string, fetched_at timestamp_ntz, deferred_reason string")
     due = F.when(F.col("host") == "a", F.col("fetched_at") + F.expr("INTERVAL 1 DAY"))
